@@ -7,7 +7,13 @@ import importlib
 #: query: module; a module's ORACLE, where it has one, is DuckDB SQL for the same rows.
 MODULES = {
     "op1_topk": "op1_topk",
+    "op2_html_text": "op2_html",
+    "op3_langid": "op3_langid",
     "op4_embedding_dedup": "op4_embeddings",
+    "op5_chat_format": "op5_chat",
+    "op7_suffix_dedup": "op7_substrings",
+    "op8_bpe": "op8_bpe",
+    "op9_mix": "op9_mix",
 }
 
 
