@@ -183,31 +183,25 @@ def components(edges: DataFrame, per_part: int = 1_000_000) -> DataFrame:
 
 
 def linked_groups(members: DataFrame, verify, first_hubs: int = 16, small: int = 64) -> DataFrame:
-    """(id, root) of the graph of verified links between members of the same bucket.
-
-    members: (key, id), each bucket's candidates. ``verify`` takes candidate pairs (a, b), a < b, and
-    returns those that link. Each round compares all members of a bucket with a few hubs (its smallest id,
-    then the smallest id of each of 16, 256, ... hash classes; all ids once a bucket has at most ``small``)
-    and skips pairs that are already connected, so a group of copies costs one comparison a member and
-    no link between components is missed: the rounds end when every pair of ids of a bucket was compared
-    or is connected.
+    """(id, root) of the graph of verified links between ids of the same bucket, for ids that are not their own root.
+
+    members: distinct (key, id, early), each bucket's candidates, cheap to read twice. ``verify`` takes pairs
+    (a, b), a < b, and returns those that link. Each round compares the ids of a bucket with a few hubs: the
+    bucket's smallest id (in buckets marked early, then in all), then the smallest of each of 16, 256, ... hash
+    classes, or all once the bucket has no more than ``small`` or as many ids as classes. Pairs that are already connected
+    or compared are skipped, so a group of copies costs about one comparison an id, and rounds end only
+    when every pair of a bucket was compared or is connected: no link between components is missed.
     """
     kind = members.dtypes[members.columns.index("id")][1]
-    m = written(members.select("key", "id").distinct(), "members")
-    sized = m.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub"))
-    m = written(m.join(sized.where("size > 1"), "key"), "members")
-    links = None
-    roots = None
-    tested = None
-    hubs, classes = m.select("key", F.col("hub")).distinct(), 1
+    sized = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
+    m = written(members.join(sized, "key"), "members")
+    links, roots, tested, classes = None, None, None, 0
+    hubs = m.where("early").select("key", "hub").distinct()
+    none = m.sparkSession.createDataFrame([], f"id {kind}, root {kind}")
     while True:
-        x, h = m.select("key", "id"), hubs
-        if roots is not None:
-            x = x.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-            h = h.join(roots.select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-        pairs = x.join(h, "key").where(F.col("id") != F.col("hub"))
-        if roots is not None:
-            pairs = pairs.where(F.col("root") != F.col("hub_root"))
+        x = m.select("key", "id").join(roots if roots is not None else none, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        h = hubs.join((roots if roots is not None else none).select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
+        pairs = x.join(h, "key").where(F.col("root") != F.col("hub_root"))
         pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -217,14 +211,16 @@ def linked_groups(members: DataFrame, verify, first_hubs: int = 16, small: int =
             links = found if links is None else links.unionByName(found)
             tested = pairs if tested is None else tested.unionByName(pairs)
             roots = written(components(links), "roots")
-        elif roots is None:
-            return m.sparkSession.createDataFrame([], f"id {kind}, root {kind}")
-        named = m.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        if not classes:
+            classes = 1
+            hubs = m.select("key", "hub").distinct()
+            continue
+        named = m.join(roots if roots is not None else none, "id", "left").withColumn("root", F.coalesce("root", "id"))
         bound = 2 if classes == 1 else max(small, classes)
-        sized = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("size").alias("size"))
-        live = written(m.join(sized.where("lo <> hi").where(F.col("size") > bound).select("key"), "key", "left_semi"), "members")
+        open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("size").alias("size")).where("lo <> hi").where(F.col("size") > bound)
+        live = written(m.join(open_keys.select("key"), "key", "left_semi"), "members")
         if live.isEmpty():
-            return roots
+            return none if roots is None else roots
         m, classes = live, classes * first_hubs
         salt = F.when(F.col("size") <= max(small, classes), F.xxhash64("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(classes)))
         hubs = written(m.groupBy("key", salt.alias("salt")).agg(F.min("id").alias("hub")).select("key", "hub"), "hubs")
