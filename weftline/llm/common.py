@@ -2,45 +2,30 @@
 
 from __future__ import annotations
 
+import gc
 import math
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import table, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "weftline-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["table", "written"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there.
-
-    The table outlives this call because results are lazy; the folder is the cluster's scratch space.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def released(df: DataFrame) -> DataFrame:
+    """df, after the shuffle files of finished work were let go: the driver drops them when it collects its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
 
 
 def parts_for(n_rows: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(n_rows / per_part))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- byte kernels ---------------------------------------------------------------------------
 
 

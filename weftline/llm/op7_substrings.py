@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INV, BYTE_CODES, mix64, parts_for, powers, table, written
+from .common import BASE, BASE_INV, BYTE_CODES, mix64, parts_for, powers, released, table, written
 
 K, BATCH_BYTES, SEGMENT, ASK_BUCKET, SORT_BUCKET = 24, 6_000_000, 1_000_000, 1_500_000, 400_000
 POSITION = np.uint64((1 << 24) - 1)
@@ -70,6 +70,13 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, window: int = 50, k: int = K):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x stand in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(x), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def batch_buffer(pdf: pd.DataFrame):
     """The texts of a batch in one buffer, in the order of their digests."""
     pdf = pdf.sort_values("digest", kind="stable")
@@ -100,7 +107,7 @@ def records(pdf: pd.DataFrame, shared: np.ndarray, window: int = 50):
     """
     pdf, raw, offsets = batch_buffer(pdf)
     doc, at, first, last, h = anchors(raw, offsets, window)
-    keep = np.isin(h, shared)
+    keep = among(h, np.sort(shared))
     doc, at, first, last = doc[keep], at[keep], first[keep], last[keep]
     left = window - K
     cols = np.arange(-left, window)
@@ -224,7 +231,7 @@ def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_batches = parts_for(total, BATCH_BYTES)
     unique = rows.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= window)).groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("raw").alias("raw"))
-    unique = written(unique.withColumn("batch", F.pmod(F.xxhash64("digest"), F.lit(n_batches)).cast("int")), "texts")
+    unique = released(written(unique.withColumn("batch", F.pmod(F.xxhash64("digest"), F.lit(n_batches)).cast("int")), "texts"))
     ask_buckets = parts_for(total // 14, ASK_BUCKET)
 
     def ask(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -243,7 +250,7 @@ def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
         out = []
         for batch, x in zip(pdf["batch"], pdf["h"], strict=True):
             h = np.frombuffer(x, np.uint64)
-            h = h[np.isin(h, both)]
+            h = h[among(h, both)]
             if len(h):
                 out.append((int(batch), h.tobytes()))
         return pd.DataFrame(out, columns=["batch", "h"])
@@ -252,6 +259,7 @@ def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     asks = texts.groupBy("batch").applyInPandas(ask, "batch int, bucket int, h binary, many binary")
     replies = written(asks.groupBy("bucket").applyInPandas(answer, "batch int, h binary"), "shared")
     del asks
+    released(replies)
 
     def shared_of(pdf: pd.DataFrame) -> np.ndarray:
         return np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["h"]] or [np.zeros(0, np.uint64)])
@@ -335,6 +343,8 @@ def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     found = found.withColumn("h", none).unionByName(replies.select("batch", "h", none.alias("id"), none.alias("lo"), none.alias("hi"), none.alias("doc")))
     known = by_batch.cogroup(found.groupBy("batch")).applyInPandas(take_off, "digest string, first long, spans array<struct<start:long,end:long>>, kept string")
     known = written(known, "spans")
+    del sent, found
+    released(known)
     out = rows.join(known, "digest", "left")
     copy = F.col("first").isNotNull() & (F.col("doc_id") > F.col("first"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
