@@ -184,7 +184,6 @@ def extract_page(html: str | None, url: str | None) -> dict:
     return {"title": title, "author": author, "published_date": date, "text": text, "markdown": normalise(markdown(main)), "word_count": len(text.split()), "links": list(dict.fromkeys(links))}
 
 
-@F.pandas_udf(SCHEMA)
 def _extract(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     return pd.DataFrame([extract_page(h, u) for h, u in zip(html, url, strict=True)], columns=names)
@@ -192,7 +191,7 @@ def _extract(html: pd.Series, url: pd.Series) -> pd.DataFrame:
 
 def extract(html: Column, url: Column) -> Column:
     """struct of title, author, published_date, text, markdown, word_count and links."""
-    return _extract(html, url)
+    return F.pandas_udf(_extract, SCHEMA)(html, url)
 
 
 def raw_title(html: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib
+
+MODULES = ("queries_text", "queries_urls", "queries_tables", "queries_flow")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,9 +21,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    for module in MODULES:
+        importlib.import_module(f"{__package__}.{module}")
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    _load()
+    return dict(sorted(QUERIES.items()))
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    _load()
+    return dict(sorted(ORACLES.items()))
