@@ -11,9 +11,11 @@ MODULES = {
     "op3_langid": "op3_langid",
     "op4_embedding_dedup": "op4_embeddings",
     "op5_chat_format": "op5_chat",
+    "op6_minhash": "op6_setsketch",
     "op7_suffix_dedup": "op7_substrings",
     "op8_bpe": "op8_bpe",
     "op9_mix": "op9_mix",
+    "op10_line_dedup": "op10_lines",
 }
 
 
