@@ -12,6 +12,7 @@ encodes again (results do not depend on it).
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import BASE, BASE_INV, BYTE_CODES, IS_SPACE, mix64, powers, slices, table, text_buffer
 
-WINDOW, MASK, KEPT_WORDS, KEPT_BYTES, SLICE = 16, 0xFF, 250_000, 48_000_000, 2_000_000
+WINDOW, MASK, KEPT_WORDS, KEPT_BYTES, SLICE, TOGETHER = 16, 0xFF, 200_000, 32_000_000, 1_500_000, 5000
+
+# The vocabulary's pattern for pre-tokens, for the characters that PLAIN lets through.
+PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\sa-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f0-9\u00b2\u00b3\u00b9\u00bc-\u00be]+")
+PLAIN = re.compile(r"[\t-\r -~\u00a1-\u012f\u0131-\u017e]*")
 
 
 def word_vocabulary() -> str:
@@ -57,7 +62,12 @@ def pieces(raw: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    """The tokenizer of one vocabulary file with the words and pieces a worker keeps."""
+    """The tokenizer of one vocabulary file with the words and pieces a worker keeps.
+
+    Pieces of plain letters and signs (one code point each way under NFC and lower case, no special token) are split
+    by the tokenizer's own pattern into pre-tokens; new ones are encoded many in a text, one space between
+    them, and told apart by the word-end mark. Other pieces are encoded word by word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,32 +75,45 @@ class Coder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words: dict = {}
         self.pieces: dict[bytes, tuple[bytes, bytes]] = {}
         self.size = 0
-        self.strings = {}
 
-    def code(self, words: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """Each word's ids (little-endian unsigned 32-bit) and its decoded text."""
+    def one(self, text: str) -> tuple[bytes, bytes]:
+        """Ids (little-endian unsigned 32-bit) and decoded text."""
+        e = self.tok.encode(text, add_special_tokens=False)
+        return np.array(e.ids, dtype="<u4").tobytes(), " ".join(e.tokens).encode()
+
+    def code(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Pre-tokens, many in one text."""
         found = {}
-        for e, w in zip(self.tok.encode_batch([w.decode() for w in words], add_special_tokens=False), words, strict=True):
-            found[w] = np.array(e.ids, dtype="<u4").tobytes(), " ".join(e.tokens).encode()
+        for s in range(0, len(words), TOGETHER):
+            part = words[s : s + TOGETHER]
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            ids, tokens = np.array(e.ids, dtype="<u4"), e.tokens
+            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cut) != len(part) or cut[-1] != len(ids):
+                found.update((w, self.one(w)) for w in part)
+                continue
+            for w, x, y in zip(part, [0, *cut[:-1]], cut, strict=True):
+                found[w] = ids[x:y].tobytes(), " ".join(tokens[x:y]).encode()
         return found
 
     def encode(self, new: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        lists = [p.split() for p in new]
+        texts = [p.decode() for p in new]
+        plain = [bool(PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        lists = [PRE_TOKENS.findall(t.lower()) if ok else t.split() for t, ok in zip(texts, plain, strict=True)]
         known = self.words
-        unseen = list({w for ws in lists for w in ws if w not in known})
-        more = self.code(unseen)
-        look = known
-        if len(known) + len(more) <= KEPT_WORDS:
-            known.update(more)
-        else:
-            look = {**{w: known[w] for ws in lists for w in ws if w in known}, **more}
+        if len(known) > KEPT_WORDS:
+            known = self.words = {}
+        known.update(self.code(list({w for ws, ok in zip(lists, plain, strict=True) if ok for w in ws if w not in known})))
         out = {}
-        for p, ws in zip(new, lists, strict=True):
-            got = [look[w] for w in ws]
-            out[p] = b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[0]])
+        for p, ws, ok in zip(new, lists, plain, strict=True):
+            got = [known[w] for w in ws] if ok else [g for w in ws if (g := self.one(w))[0]]
+            out[p] = b"".join([g[0] for g in got]), b" ".join([g[1] for g in got])
         return out
 
     def run(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[bytes]]:
