@@ -105,7 +105,7 @@ class Coder:
     def encode(self, new: list[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
         texts = [p.decode() for p in new]
         plain = [bool(PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
-        lists = [PRE_TOKENS.findall(t.lower()) if ok else t.split() for t, ok in zip(texts, plain, strict=True)]
+        lists = [PRE_TOKENS.findall(t.lower()) if ok else [w.decode() for w in p.split()] for p, t, ok in zip(new, texts, plain, strict=True)]
         known = self.words
         if len(known) > KEPT_WORDS:
             known = self.words = {}
