@@ -177,7 +177,11 @@ def viterbi(emit: np.ndarray, start: np.ndarray, size: np.ndarray, penalty: floa
 
 def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Model | None:
     """Fit on (doc_id, text, lang) rows that are labelled; None if there is none."""
-    sample = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("place", F.xxhash64("doc_id"))
+    last = known.select("place").orderBy("place").limit(limit).agg(F.max("place")).first()[0]
+    if last is None:
+        return None
+    sample = known.where(F.col("place") <= last)  # hashes alone are sorted; texts stay where they are
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
     counts = [(r.lang, r.word, r.n) for r in words.groupBy("lang", "word").agg(F.count("*").alias("n")).collect()]
     return Model(counts) if counts else None
