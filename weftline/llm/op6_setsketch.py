@@ -181,9 +181,9 @@ WITH RECURSIVE w AS (
     ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
 ), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
 ), common AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both, any_value(a.n) AS na, any_value(b.n) AS nb
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
   FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
-), links AS (SELECT a, b FROM common WHERE 100 * both >= 85 * (na + nb - both)
+), links AS (SELECT a, b FROM common WHERE 100 * shared >= 85 * (na + nb - shared)
 ), reach(a, b) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
 ), comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
