@@ -66,11 +66,11 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix64((prefix[ends] - prefix[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_spans(codes: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes other than white space; a document's first byte always starts one."""
+def word_spans(codes: np.ndarray, doc_starts: np.ndarray, inside: np.ndarray = ~IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that ``inside`` lets in (all but white space); runs end with their document."""
     if not len(codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~IS_SPACE[codes]
+    word = inside[codes]
     first = np.zeros(len(codes) + 1, dtype=bool)
     first[doc_starts] = True
     first = first[:-1]
