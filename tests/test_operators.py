@@ -173,6 +173,19 @@ def test_fetch(spark):
     assert got == {"https://a": (200, None), "https://bad": (None, "OSError: down")}
 
 
+def test_throttle():
+    from weftline.sources.throttle import HostBuckets
+
+    now, slept = [0.0], []
+    b = HostBuckets(2.0, clock=lambda: now[0], sleep=slept.append)
+    for _ in range(6):
+        b.wait("https://a.com/x")
+    b.wait("https://b.com/")
+    assert slept == [0.5, 1.0]
+    now[0] = 10.0
+    assert b.reserve("a.com") == 0.0
+
+
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([(1, "qa", "s", [("user", 'é "q", x\ny')], 0.5, "x"), (2, "qa", None, [], None, "x")], "id long, format string, system string, messages array<struct<role:string,content:string>>, quality_score double, session_id string")
     paths = local.export_all(d, str(tmp_path))
@@ -190,9 +203,13 @@ def test_pipeline_runs_again_and_resumes(spark, sf, tmp_path):
     assert p.run(found, pages) == "completed"
     counts = p.counts()
     assert counts["discovery"] == 50 and counts["generation"] == counts["processing"] > 0
+    rows, more = p.view("discovery", 3)
+    assert rows.count() == 3 and more == 47 and local.written_bytes(spark, str(tmp_path)) > 0
     assert p.run(found, pages, start="processing", stop="quality") == "completed" and p.counts() == counts
     paused = Pipeline(spark, str(tmp_path), CurationConfig(session_id="s2"), post_stage=lambda s, d: s != "collection")
     assert paused.run(found, pages) == "paused" and set(paused.counts()) == {"discovery", "collection"}
+    paused.post_stage = None
+    assert paused.resume(found, pages) == "completed" and paused.counts()["quality"] == counts["quality"]
     silent = Pipeline(spark, str(tmp_path), CurationConfig(session_id="s3"), generator=None)
     assert silent.run(found, pages) == "completed" and "generation" not in silent.counts()
 

@@ -119,3 +119,8 @@ def clamp_score(score: Column) -> Column:
 
 def normalised_score(score: Column) -> Column:
     return (clamp_score(score) - 1) / 4.0
+
+
+def thinking_budget(max_tokens: Column) -> Column:
+    """Tokens a model may think: what is left beside 1,000, within 1,024 and 8,000."""
+    return F.greatest(F.lit(1024), F.least(F.lit(8000), max_tokens - 1000))

@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from ..config import CurationConfig
 from ..functions import markup, text
-from ..functions.urls import sanitise
+from ..functions.urls import matches, sanitise
 from ..operators import chunks, generate, quality
 from ..operators.relational import exclude_known, keep_first
 from ..schemas import STAGES
 from ..sinks import local
+from ..sources.discovery import sitemap_closure
 
 ORDER = STAGES[:-1]
+VIEW_ORDER = {"discovery": "ord", "collection": "page_id", "processing": "chunk_id", "generation": "id", "quality": "id"}
 
 
 def discover(urls: DataFrame, cfg: CurationConfig, known: DataFrame | None = None) -> DataFrame:
@@ -99,6 +101,17 @@ class Pipeline:
                 return "paused"
         return "completed"
 
+    def resume(self, urls: DataFrame, fetched: DataFrame, **how) -> str:
+        """Go on at the first stage without a table."""
+        start = next((s for s in ORDER[:-1] if not self._has(s)), ORDER[-1])
+        return self.run(urls, fetched, start=start, **how)
+
+    def view(self, stage: str, limit: int = 5) -> tuple[DataFrame, int]:
+        """The first rows of a stage and how many more there are."""
+        df = self.read(stage)
+        order = VIEW_ORDER[stage]
+        return df.orderBy(order).limit(limit), max(0, df.count() - limit)
+
     def _has(self, stage: str) -> bool:
         try:
             return not self.read(stage).isEmpty()
@@ -121,6 +134,18 @@ def latest(df: DataFrame, group: list[str] | None = None) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def explore(fetched: DataFrame, seed: str, pattern: str | None = None) -> DataFrame:
+    """(ord, url) of a sitemap without keeping anything; fetched: (url, status, body)."""
+    return sitemap_closure(fetched, seed).where(matches(F.col("url"), pattern))
+
+
+def status(df: DataFrame) -> DataFrame:
+    """(status, n) of the sessions, with the share of paused ones."""
+    n = df.groupBy("status").agg(F.count("*").alias("n"))
+    total = df.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "paused").alias("paused"))
+    return n.crossJoin(F.broadcast(total))
+
+
 def stage_counts(frames: dict[str, DataFrame]) -> DataFrame:
     """(stage, n) of the stage tables in one pass."""
     out = None

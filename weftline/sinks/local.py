@@ -58,6 +58,12 @@ def write_split(df: DataFrame, path: str, key: str = "id", ratio: float = 0.1, s
     exact_split(df, key, ratio, seed).write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def written_bytes(spark, path: str) -> int:
+    """The size of all files below a path, from their listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def publication_metadata(title: str, slug: str) -> str:
     return json.dumps({"title": title, "id": slug, "licenses": [{"name": "CC0-1.0"}]}, indent=2)
 
