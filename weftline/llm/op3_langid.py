@@ -6,7 +6,8 @@ was); candidates get the trigram log-probability, others are out of reach. Viter
 a penalty for each switch labels spans; words without letters score nothing and take their neighbours' label.
 The language with the most letters is the prediction and its share of the letters is the score.
 
-Training reads at most TRAIN_DOCS labelled documents (the smallest by a hash of the id), whole texts.
+Training reads at most TRAIN_DOCS labelled documents (the smallest by a hash of the id), whole texts, and keeps
+their TRAIN_WORDS most frequent words.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-TRAIN_DOCS, SWITCH, ALPHA, SHARE, KEPT_WORDS, SLICE, UNKNOWN = 3000, 12.0, 0.05, 0.001, 250_000, 6_000_000, "und"
+TRAIN_DOCS, TRAIN_WORDS, SWITCH, ALPHA, SHARE, KEPT_WORDS, SLICE, UNKNOWN = 3000, 500_000, 12.0, 0.05, 0.001, 250_000, 6_000_000, "und"
 OUT_OF_REACH = -1e6
 
 # Ranges of code points, from the Unicode blocks.
@@ -183,7 +184,8 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Model | None:
         return None
     sample = known.where(F.col("place") <= last)  # hashes alone are sorted; texts stay where they are
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
-    counts = [(r.lang, r.word, r.n) for r in words.groupBy("lang", "word").agg(F.count("*").alias("n")).collect()]
+    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(TRAIN_WORDS)
+    counts = [(r.lang, r.word, r.n) for r in counted.collect()]
     return Model(counts) if counts else None
 
 

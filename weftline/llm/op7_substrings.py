@@ -266,7 +266,7 @@ def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
 
     expected = replies.agg(F.sum(F.length("h") / 8)).first()[0] or 0
     buckets = parts_for(int(expected), SORT_BUCKET)
-    splitters = sampled_splitters(texts, replies, buckets)
+    splitters = sampled_splitters(texts, total, buckets)
 
     def send(key, mine: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         cols = ["batch", "bucket", "ids", "docs", "ctx", "low", "high"]
@@ -359,12 +359,16 @@ def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     )
 
 
-def sampled_splitters(texts: DataFrame, replies: DataFrame, buckets: int, per_bucket: int = 64) -> np.ndarray:
-    """Splitters of the suffixes' leading bytes from a bounded sample of batches (at most 64 suffixes a bucket)."""
+def sampled_splitters(texts: DataFrame, total_bytes: int, buckets: int, per_bucket: int = 64) -> np.ndarray:
+    """Splitters of the suffixes' leading bytes from texts drawn by hash, enough for about per_bucket suffixes a bucket.
+
+    One anchor in 16 of a drawn text is taken, an anchor stands for about 14 bytes; at most four times the wish is read.
+    """
     if buckets < 2:
         return np.zeros(0, dtype=f"S{K}")
     want = buckets * per_bucket
-    some = texts.where(F.pmod(F.xxhash64("digest", F.lit("sample")), F.lit(97)) == 0).select("raw").limit(20_000)
+    one_in = max(1, total_bytes // (want * 14 * 16 * 2))
+    some = texts.where(F.pmod(F.xxhash64("digest", F.lit("sample")), F.lit(one_in)) == 0).select("raw")
 
     def leads(batches):
         for pdf in batches:
@@ -374,7 +378,7 @@ def sampled_splitters(texts: DataFrame, replies: DataFrame, buckets: int, per_bu
                 pick = at[(h >> np.uint64(40)) % np.uint64(16) == 0]
                 yield pd.DataFrame({"lead": [data[p : p + K] for p in pick.tolist()]})
 
-    got = [bytes(r.lead) for r in some.mapInPandas(leads, "lead binary").limit(want).collect()]
+    got = [bytes(r.lead) for r in some.mapInPandas(leads, "lead binary").limit(4 * want).collect()]
     got = np.sort(np.array(got, dtype=f"S{K}"))
     return np.unique(got[[len(got) * i // buckets for i in range(1, buckets)]]) if len(got) else got
 
