@@ -89,20 +89,28 @@ def test_components_over_many_partitions(spark):
         assert dict(map(tuple, common.components(df, per_part).collect())) == want
 
 
-def test_link_rounds_lose_nothing(spark):
-    """Points on lines link when near; buckets hold far points too, so hubs do not reach all of a component."""
+def test_link_rounds_lose_nothing(spark, monkeypatch):
+    """Points on a line link when near; sketches are coarse, buckets large enough for blocks, and only few pairs pass at first."""
+    monkeypatch.setattr(common, "BLOCK", 16)
+    monkeypatch.setattr(common, "SMALL", 6)
+    monkeypatch.setattr(common, "TASK", 100)
     rng = random.Random(9)
     at = {i: rng.randint(0, 600) for i in range(300)}
-    members = [(k, i, k < 2) for i in at for k in range(4) if rng.random() < 0.5]
+    members = [(k, i, bytearray([at[i] // 8])) for i in at for k in range(4) if rng.random() < 0.4] + [(10 + i // 3, i, bytearray([at[i] // 8])) for i in at]
     pos = spark.createDataFrame(list(at.items()), "id long, p long")
 
+    def likeness(x, y):
+        d = np.abs(x[:, 0].astype(int) - y[:, 0].astype(int))
+        return -d.astype(float), d <= 1
+
     def verify(pairs):
         x = pairs.join(pos.withColumnsRenamed({"id": "a", "p": "pa"}), "a").join(pos.withColumnsRenamed({"id": "b", "p": "pb"}), "b")
         return x.where("abs(pa - pb) <= 2").select("a", "b")
 
-    links = [(i, j) for k in range(4) for i, j in itertools.combinations([i for kk, i, _ in members if kk == k], 2) if abs(at[i] - at[j]) <= 2]
+    keys = {k for k, _, _ in members}
+    links = [(i, j) for k in keys for i, j in itertools.combinations([i for kk, i, _ in members if kk == k], 2) if abs(at[i] - at[j]) <= 2]
     want = {x: r for x, r in common.forest(links).items() if x != r}
-    got = common.linked_groups(spark.createDataFrame(members, "key long, id long, early boolean"), verify, first_hubs=4, small=8)
+    got = common.linked_groups(spark.createDataFrame(members, "key long, id long, sketch binary"), likeness, verify, tops=(1, 2, 4, None))
     assert dict(map(tuple, got.collect())) == want
 
 

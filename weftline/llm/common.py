@@ -6,6 +6,7 @@ import gc
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,45 +168,113 @@ def components(edges: DataFrame, per_part: int = 1_000_000) -> DataFrame:
             return e
 
 
-def linked_groups(members: DataFrame, verify, first_hubs: int = 16, small: int = 64) -> DataFrame:
+BLOCK, SMALL, TASK, AT_ONCE = 2048, 48, 40_000, 100_000
+
+
+def best_pairs(pdf: pd.DataFrame, likeness, top: int | None) -> pd.DataFrame:
+    """(a, b, cut): plausible pairs of different roots within the rows' slots, the ``top`` likeliest of each id; cut: some were left out."""
+    order = np.lexsort((pdf["j"], pdf["i"], pdf["key"]))
+    key, i, j, block = (pdf[c].to_numpy(np.int64)[order] for c in ("key", "i", "j", "block"))
+    ids, root = pdf["id"].to_numpy()[order], pd.factorize(pdf["root"])[0][order]
+    sketch = np.frombuffer(b"".join(pdf["sketch"].to_numpy()[order]), dtype=np.uint8).reshape(len(pdf), -1)
+    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+    size = np.diff(np.concatenate((new, [len(key)])))
+    group = np.repeat(np.arange(len(new)), size)
+    found = []
+
+    def weigh(p, q):
+        for s in range(0, len(p), AT_ONCE):
+            x, y = p[s : s + AT_ONCE], q[s : s + AT_ONCE]
+            apart = root[x] != root[y]
+            x, y = x[apart], y[apart]
+            if len(x):
+                score, ok = likeness(sketch[x], sketch[y])
+                found.append((x[ok], y[ok], score[ok]))
+
+    small = np.flatnonzero((size[group] <= SMALL) & (i == j))
+    for d in range(1, SMALL):
+        p = small[small + d < len(key)]
+        p = p[group[p] == group[p + d]]
+        if not len(p):
+            break
+        weigh(p, p + d)
+    for g in np.flatnonzero((size > SMALL) | (i[new] != j[new])):
+        rows = np.arange(new[g], new[g] + size[g])
+        rare = root[rows] != np.bincount(root[rows]).argmax()  # pairs within the commonest component are connected
+        if i[new[g]] == j[new[g]]:
+            for r in rows[rare]:
+                other = rows[(~rare) | (rows > r)]
+                weigh(np.full(len(other), r), other)
+        else:
+            left = block[rows] == i[rows]
+            for r, is_rare in zip(rows[left], rare[left], strict=True):
+                other = rows[~left] if is_rare else rows[~left & rare]
+                weigh(np.full(len(other), r), other)
+    if not found:
+        return pd.DataFrame({"a": ids[:0], "b": ids[:0], "cut": np.zeros(0, bool)})
+    x, y, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    keep = np.ones(len(x), dtype=bool)
+    if top is not None:
+        keep[:] = False
+        for end in (x, y):
+            code = pd.factorize(ids[end])[0]
+            by = np.lexsort((-score, code))
+            first = np.flatnonzero(np.concatenate(([True], code[by][1:] != code[by][:-1])))
+            rank = np.arange(len(by)) - np.repeat(first, np.diff(np.concatenate((first, [len(by)]))))
+            keep[by[rank < top]] = True
+    cut = not keep.all()
+    x, y = ids[x[keep]], ids[y[keep]]
+    swap = x > y
+    return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y), "cut": cut})
+
+
+def _comparison(likeness, top: int | None):
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        return best_pairs(pdf, likeness, top)
+
+    return compare
+
+
+def linked_groups(members: DataFrame, likeness, verify, tops=(2, 16, 256, None)) -> DataFrame:
     """(id, root) of the graph of verified links between ids of the same bucket, for ids that are not their own root.
 
-    members: distinct (key, id, early), each bucket's candidates, cheap to read twice. ``verify`` takes pairs
-    (a, b), a < b, and returns those that link. Each round compares the ids of a bucket with a few hubs: the
-    bucket's smallest id (in buckets marked early, then in all), then the smallest of each of 16, 256, ... hash
-    classes, or all once the bucket has no more than ``small`` or as many ids as classes. Pairs that are already connected
-    or compared are skipped, so a group of copies costs about one comparison an id, and rounds end only
-    when every pair of a bucket was compared or is connected: no link between components is missed.
+    members: distinct (key, id, sketch); all ids of a key are candidates of one another. ``likeness`` takes two
+    arrays of sketches (rows of bytes) and returns a score and whether a link is plausible; ``verify`` takes pairs
+    (a, b), a < b, and returns those that link. A round compares the sketches of ids that are not yet connected, inside
+    tasks of bounded size (large buckets are cut into blocks, a task for each pair of blocks), and sends only the
+    likeliest partners of each id to ``verify``; the next round allows more, the last all. Once a
+    group of copies is connected, none of its pairs is looked at again, and the rounds end only when every
+    plausible pair of a bucket was verified or is connected: no link between components is missed.
     """
     kind = members.dtypes[members.columns.index("id")][1]
-    sized = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
+    sized = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     m = written(members.join(sized, "key"), "members")
-    links, roots, tested, classes = None, None, None, 0
-    hubs = m.where("early").select("key", "hub").distinct()
     none = m.sparkSession.createDataFrame([], f"id {kind}, root {kind}")
-    while True:
-        x = m.select("key", "id").join(roots if roots is not None else none, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        h = hubs.join((roots if roots is not None else none).select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-        pairs = x.join(h, "key").where(F.col("root") != F.col("hub_root"))
-        pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    links, tested, roots = None, None, none
+    for top in tops:
+        named = m.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        live = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        named = written(named.join(live, "key", "left_semi"), "open")
+        n = named.count()
+        if not n:
+            break
+        blocks = F.ceil(F.col("size") / BLOCK)
+        slot = named.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        slot = slot.select("key", "id", "root", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        slot = slot.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts_for(n, TASK))))
+        pairs = slot.groupBy("task").applyInPandas(_comparison(likeness, top), f"a {kind}, b {kind}, cut boolean")
+        pairs = written(pairs.groupBy("a", "b").agg(F.max("cut").alias("cut")), "pairs")
+        cut = not pairs.where("cut").isEmpty()
+        fresh = pairs.select("a", "b")
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if not pairs.isEmpty():
-            found = written(verify(pairs).select("a", "b"), "links")
+            fresh = fresh.join(tested, ["a", "b"], "left_anti")
+        if not fresh.isEmpty():
+            found = written(verify(fresh).select("a", "b"), "links")
             links = found if links is None else links.unionByName(found)
-            tested = pairs if tested is None else tested.unionByName(pairs)
+            tested = fresh if tested is None else tested.unionByName(pairs.select("a", "b"))
             roots = written(components(links), "roots")
-        if not classes:
-            classes = 1
-            hubs = m.select("key", "hub").distinct()
-            continue
-        named = m.join(roots if roots is not None else none, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        bound = 2 if classes == 1 else max(small, classes)
-        open_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("size").alias("size")).where("lo <> hi").where(F.col("size") > bound)
-        live = written(m.join(open_keys.select("key"), "key", "left_semi"), "members")
-        if live.isEmpty():
-            return none if roots is None else roots
-        m, classes = live, classes * first_hubs
-        salt = F.when(F.col("size") <= max(small, classes), F.xxhash64("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(classes)))
-        hubs = written(m.groupBy("key", salt.alias("salt")).agg(F.min("id").alias("hub")).select("key", "hub"), "hubs")
+            released(roots)
+        m = named.drop("root")
+        if not cut:
+            break
+    return roots
