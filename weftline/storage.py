@@ -18,11 +18,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Spark's own clean-up of an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table of the shared folder. It outlives the call because results are lazy."""
-    path = f"{shared_dir(df.sparkSession)}/weftline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a Parquet table of the shared folder. It outlives the call because results are lazy.
+
+    The shuffle files of this one execution are dropped when it ends, since its result is on disk.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
