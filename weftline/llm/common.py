@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 
 import numpy as np
@@ -16,13 +15,6 @@ from ..storage import table, written
 __all__ = ["table", "written"]
 
 
-def released(df: DataFrame) -> DataFrame:
-    """df, after the shuffle files of finished work were let go: the driver drops them when it collects its garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
-
-
 def parts_for(n_rows: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(n_rows / per_part))
 
@@ -273,7 +265,6 @@ def linked_groups(members: DataFrame, likeness, verify, tops=(2, 16, 256, None))
             links = found if links is None else links.unionByName(found)
             tested = fresh if tested is None else tested.unionByName(pairs.select("a", "b"))
             roots = written(components(links), "roots")
-            released(roots)
         m = named.drop("root")
         if not cut:
             break
