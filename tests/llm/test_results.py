@@ -110,7 +110,7 @@ def test_link_rounds_lose_nothing(spark, monkeypatch):
     keys = {k for k, _, _ in members}
     links = [(i, j) for k in keys for i, j in itertools.combinations([i for kk, i, _ in members if kk == k], 2) if abs(at[i] - at[j]) <= 2]
     want = {x: r for x, r in common.forest(links).items() if x != r}
-    got = common.linked_groups(spark.createDataFrame(members, "key long, id long, sketch binary"), likeness, verify, tops=(1, 2, 4, None))
+    got = common.linked_groups(spark.createDataFrame(members, "key long, id long, sketch binary"), likeness, verify, ((4, 1), (1, 1), (1, 2), (1, 4), (1, None)))
     assert dict(map(tuple, got.collect())) == want
 
 

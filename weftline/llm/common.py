@@ -227,14 +227,15 @@ def _comparison(likeness, top: int | None):
     return compare
 
 
-def linked_groups(members: DataFrame, likeness, verify, tops=(2, 16, 256, None)) -> DataFrame:
+def linked_groups(members: DataFrame, likeness, verify, rounds=((8, 1), (1, 2), (1, 16), (1, 256), (1, None))) -> DataFrame:
     """(id, root) of the graph of verified links between ids of the same bucket, for ids that are not their own root.
 
     members: distinct (key, id, sketch); all ids of a key are candidates of one another. ``likeness`` takes two
     arrays of sketches (rows of bytes) and returns a score and whether a link is plausible; ``verify`` takes pairs
     (a, b), a < b, and returns those that link. A round compares the sketches of ids that are not yet connected, inside
     tasks of bounded size (large buckets are cut into blocks, a task for each pair of blocks), and sends only the
-    likeliest partners of each id to ``verify``; the next round allows more, the last all. Once a
+    likeliest partners of each id to ``verify``. rounds: (one bucket in so many, partners of an id); the first
+    looks at a few buckets to connect most copies cheaply, those from one in one on at all, the last at all pairs. Once a
     group of copies is connected, none of its pairs is looked at again, and the rounds end only when every
     plausible pair of a bucket was verified or is connected: no link between components is missed.
     """
@@ -243,17 +244,20 @@ def linked_groups(members: DataFrame, likeness, verify, tops=(2, 16, 256, None))
     m = written(members.join(sized, "key"), "members")
     none = m.sparkSession.createDataFrame([], f"id {kind}, root {kind}")
     links, tested, roots = None, None, none
-    for top in tops:
+    for one_in, top in rounds:
         named = m.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         live = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        named = written(named.join(live, "key", "left_semi"), "open")
+        named = named.join(live, "key", "left_semi")
+        if one_in > 1:
+            named = named.where(F.pmod(F.xxhash64("key", F.lit("first")), F.lit(one_in)) == 0)
+        named = written(named, "open")
         n = named.count()
-        if not n:
+        if not n and one_in == 1:
             break
         blocks = F.ceil(F.col("size") / BLOCK)
         slot = named.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         slot = slot.select("key", "id", "root", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        slot = slot.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts_for(n, TASK))))
+        slot = slot.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts_for(max(n, 1), TASK))))
         pairs = slot.groupBy("task").applyInPandas(_comparison(likeness, top), f"a {kind}, b {kind}, cut boolean")
         pairs = written(pairs.groupBy("a", "b").agg(F.max("cut").alias("cut")), "pairs")
         cut = not pairs.where("cut").isEmpty()
@@ -265,7 +269,8 @@ def linked_groups(members: DataFrame, likeness, verify, tops=(2, 16, 256, None))
             links = found if links is None else links.unionByName(found)
             tested = fresh if tested is None else tested.unionByName(pairs.select("a", "b"))
             roots = written(components(links), "roots")
-        m = named.drop("root")
-        if not cut:
-            break
+        if one_in == 1:
+            m = named.drop("root")
+            if not cut:
+                break
     return roots
