@@ -96,7 +96,8 @@ def test_link_rounds_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(common, "TASK", 100)
     rng = random.Random(9)
     at = {i: rng.randint(0, 600) for i in range(300)}
-    members = [(k, i, bytearray([at[i] // 8])) for i in at for k in range(4) if rng.random() < 0.4] + [(10 + i // 3, i, bytearray([at[i] // 8])) for i in at]
+    members = [(k, i) for i in at for k in range(4) if rng.random() < 0.4] + [(10 + i // 3, i) for i in at]
+    sketches = spark.createDataFrame([(i, bytearray([p // 8])) for i, p in at.items()], "id long, sketch binary")
     pos = spark.createDataFrame(list(at.items()), "id long, p long")
 
     def likeness(x, y):
@@ -107,10 +108,10 @@ def test_link_rounds_lose_nothing(spark, monkeypatch):
         x = pairs.join(pos.withColumnsRenamed({"id": "a", "p": "pa"}), "a").join(pos.withColumnsRenamed({"id": "b", "p": "pb"}), "b")
         return x.where("abs(pa - pb) <= 2").select("a", "b")
 
-    keys = {k for k, _, _ in members}
-    links = [(i, j) for k in keys for i, j in itertools.combinations([i for kk, i, _ in members if kk == k], 2) if abs(at[i] - at[j]) <= 2]
+    keys = {k for k, _ in members}
+    links = [(i, j) for k in keys for i, j in itertools.combinations([i for kk, i in members if kk == k], 2) if abs(at[i] - at[j]) <= 2]
     want = {x: r for x, r in common.forest(links).items() if x != r}
-    got = common.linked_groups(spark.createDataFrame(members, "key long, id long, sketch binary"), likeness, verify, ((4, 1), (1, 1), (1, 2), (1, 4), (1, None)))
+    got = common.linked_groups(spark.createDataFrame(members, "key long, id long"), sketches, likeness, verify, ((4, 1), (1, 1), (1, 2), (1, 4), (1, None)))
     assert dict(map(tuple, got.collect())) == want
 
 

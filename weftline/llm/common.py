@@ -227,11 +227,11 @@ def _comparison(likeness, top: int | None):
     return compare
 
 
-def linked_groups(members: DataFrame, likeness, verify, rounds=((8, 1), (1, 2), (1, 16), (1, 256), (1, None))) -> DataFrame:
+def linked_groups(members: DataFrame, sketches: DataFrame, likeness, verify, rounds=((8, 1), (1, 2), (1, 16), (1, 256), (1, None))) -> DataFrame:
     """(id, root) of the graph of verified links between ids of the same bucket, for ids that are not their own root.
 
-    members: distinct (key, id, sketch); all ids of a key are candidates of one another. ``likeness`` takes two
-    arrays of sketches (rows of bytes) and returns a score and whether a link is plausible; ``verify`` takes pairs
+    members: (key, id); all ids of a key are candidates of one another. sketches: (id, sketch), joined only to the
+    ids of open buckets. ``likeness`` takes two arrays of sketches (rows of bytes) and returns a score and whether a link is plausible; ``verify`` takes pairs
     (a, b), a < b, and returns those that link. A round compares the sketches of ids that are not yet connected, inside
     tasks of bounded size (large buckets are cut into blocks, a task for each pair of blocks), and sends only the
     likeliest partners of each id to ``verify``. rounds: (one bucket in so many, partners of an id); the first
@@ -240,6 +240,7 @@ def linked_groups(members: DataFrame, likeness, verify, rounds=((8, 1), (1, 2),
     plausible pair of a bucket was verified or is connected: no link between components is missed.
     """
     kind = members.dtypes[members.columns.index("id")][1]
+    members = members.select("key", "id").distinct()
     sized = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     m = written(members.join(sized, "key"), "members")
     none = m.sparkSession.createDataFrame([], f"id {kind}, root {kind}")
@@ -255,7 +256,7 @@ def linked_groups(members: DataFrame, likeness, verify, rounds=((8, 1), (1, 2),
         if not n and one_in == 1:
             break
         blocks = F.ceil(F.col("size") / BLOCK)
-        slot = named.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        slot = named.join(sketches.select("id", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         slot = slot.select("key", "id", "root", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         slot = slot.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts_for(max(n, 1), TASK))))
         pairs = slot.groupBy("task").applyInPandas(_comparison(likeness, top), f"a {kind}, b {kind}, cut boolean")

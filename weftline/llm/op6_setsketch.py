@@ -131,7 +131,8 @@ def near_documents(docs: DataFrame, per_cent: int = 80, n_words: int = 5) -> Dat
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"))
     classes = written(classes.join(rows.select("digest", F.col("doc_id").alias("id"), "n", "regs", "keys"), ["digest", "id"]).dropDuplicates(["digest"]), "classes")
     # ids are smallest documents of classes; a document may head one class only, unless its id is repeated
-    members = classes.select(F.explode("keys").alias("key"), "id", F.concat("regs", F.unhex(F.lpad(F.hex("n"), 16, "0"))).alias("sketch")).dropDuplicates(["key", "id"])
+    members = classes.select(F.explode("keys").alias("key"), "id")
+    sketch = classes.groupBy("id").agg(F.min(F.concat("regs", F.unhex(F.lpad(F.hex("n"), 16, "0")))).alias("sketch"))
 
     def likeness(x: np.ndarray, y: np.ndarray):
         ra, rb = (np.ascontiguousarray(v[:, : 2 * REGISTERS]).view(np.uint16) for v in (x, y))
@@ -166,7 +167,7 @@ def near_documents(docs: DataFrame, per_cent: int = 80, n_words: int = 5) -> Dat
 
         return pairs.join(side["b"], "b").join(side["a"], "a").mapInPandas(confirm, "a long, b long").distinct()
 
-    roots = linked_groups(members, likeness, verify)
+    roots = linked_groups(members, sketch, likeness, verify)
     named = classes.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
     known = F.col("n_shingles") > 0
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
