@@ -236,3 +236,45 @@ def test_lines_against_brute_force(spark):
     assert all(set(want[i]) <= set(got[i]) for i in texts)
     given, kept, best = (sum(len(x) for x in d.values()) for d in ({i: t.split("\n") for i, t in texts.items()}, got, want))
     assert given - kept >= 0.85 * (given - best)
+
+
+def within_edits(a, b, most):
+    """Whether the edit distance is at most ``most``: a band of the table."""
+    far = most + 1
+    row = {j: j for j in range(min(len(b), most) + 1)}
+    for i in range(1, len(a) + 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            new[j] = i if j == 0 else min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (a[i - 1] != b[j - 1]))
+        row = new
+    return row.get(len(b), far) <= most
+
+
+def edited_lines(n_words, seed=13):
+    """Pairs of a line and a copy with a changed word, changed words near the limit of 0.9, or letters at random places up to it."""
+    rng = random.Random(seed + n_words)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    out = []
+    for kind in range(24):
+        words = [word() for _ in range(n_words)]
+        line = " ".join(words)
+        left, other = int(len(line) * 0.1), list(words)
+        for i in rng.sample(range(n_words), n_words) if kind % 3 else []:
+            if len(words[i]) <= left and (kind % 3 == 2 or other == words):
+                other[i], left = "".join(rng.choice("klmnop") for _ in words[i]), left - len(words[i])
+        copy = list(" ".join(other))
+        for i in rng.sample(range(len(copy)), left) if kind % 3 == 0 or other == words else []:
+            copy[i] = "z"
+        out.append((line, "".join(copy)))
+    return out
+
+
+@pytest.mark.parametrize("n_words", [4, 8, 12, 20, 40])
+def test_lines_near_the_limit(spark, n_words):
+    lines = [x for pair in edited_lines(n_words) for x in pair]
+    norm = [" ".join(op10_lines.normal(x)) for x in lines]
+    links = [(i, j) for i, j in itertools.combinations(range(len(norm)), 2) if within_edits(norm[i], norm[j], int(max(len(norm[i]), len(norm[j])) * 0.1 + 1e-9))]
+    roots = common.forest(links)
+    assert all(roots[i + 1] == i for i in range(0, len(lines), 2))
+    got = {r.doc_id: r.text for r in op10_lines.without_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {i: "" if roots.get(i, i) != i else x for i, x in enumerate(lines)}
