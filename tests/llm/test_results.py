@@ -278,3 +278,11 @@ def test_lines_near_the_limit(spark, n_words):
     assert all(roots[i + 1] == i for i in range(0, len(lines), 2))
     got = {r.doc_id: r.text for r in op10_lines.without_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
     assert got == {i: "" if roots.get(i, i) != i else x for i, x in enumerate(lines)}
+
+
+def test_no_link_fails_the_bounds():
+    """Whatever is within the edit similarity passes the check before the edit distance."""
+    for n_words in (4, 8, 12, 20, 40):
+        pairs = [[" ".join(op10_lines.normal(x)) for x in pair] for seed in range(20) for pair in edited_lines(n_words, seed * 100)]
+        x, y = (op10_lines.line_sketches([p[i] for p in pairs]) for i in (0, 1))
+        assert op10_lines.near(x, y, 0.9).all()
