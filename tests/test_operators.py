@@ -221,3 +221,10 @@ def test_streams(spark, sf, tmp_path):
     curation.append_to(curation.chunked(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     batch = d.select("doc_id", F.posexplode(chunks.chunks_fast(text.clean(F.coalesce("text", F.lit("")))))).count()
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch
+
+
+def test_sitemaps_nested_deep(spark):
+    index = "<sitemapindex><sitemap><loc>https://a.com/%d.xml</loc></sitemap></sitemapindex>"
+    rows = [(f"https://a.com/{i}.xml", 200, index % (i + 1)) for i in range(34)] + [("https://a.com/34.xml", 200, "<urlset><url><loc>https://a.com/p</loc></url></urlset>")]
+    fetched = spark.createDataFrame(rows, "url string, status int, body string")
+    assert [r.url for r in discovery.sitemap_closure(fetched, "https://a.com/0.xml").collect()] == ["https://a.com/p"]

@@ -94,7 +94,7 @@ def sitemap_children(bodies: DataFrame) -> DataFrame:
     return ok.select(F.col("url").alias("parent"), F.posexplode(loc).alias("pos", "url")).withColumn("url", F.trim("url"))
 
 
-def sitemap_closure(fetched: DataFrame, seed: str, max_rounds: int = 32) -> DataFrame:
+def sitemap_closure(fetched: DataFrame, seed: str) -> DataFrame:
     """(ord, url) of all pages under a sitemap or index, depth first, each file once; fetched: (url, status, body).
 
     The frontier advances a level a round; the path of positions from the seed orders files as a depth-first walk.
@@ -104,7 +104,7 @@ def sitemap_closure(fetched: DataFrame, seed: str, max_rounds: int = 32) -> Data
     frontier = spark.createDataFrame([(seed, [0])], "url string, walk array<int>")
     seen = frontier
     edges = written(sitemap_children(good), "sitemap-edges")
-    for _ in range(max_rounds):
+    while True:  # ends where no file is new
         nxt = frontier.withColumnRenamed("url", "parent").join(edges, "parent").select("url", F.concat("walk", F.array("pos")).alias("walk"))
         nxt = keep_first(nxt, ["url"], ["walk"]).join(seen.select("url"), "url", "left_anti")
         frontier = written(nxt, "sitemap-frontier")
