@@ -282,3 +282,11 @@ def test_no_link_fails_the_bounds():
         pairs = [[" ".join(op10_lines.normal(x)) for x in pair] for seed in range(20) for pair in edited_lines(n_words, seed * 100)]
         x, y = (op10_lines.line_sketches([p[i] for p in pairs]) for i in (0, 1))
         assert op10_lines.near(x, y, 0.9).all()
+
+
+def test_loss_is_what_the_mask_covers(spark, sf, monkeypatch):
+    from weftline.llm import op5_chat
+
+    whole = op5_chat.format_chats
+    monkeypatch.setattr(op5_chat, "format_chats", lambda rows: whole(rows).withColumn("loss_spans", F.slice("loss_spans", 1, 0)))
+    assert op5_chat.op5_chat_format(spark, sf).where("loss_chars <> 0").isEmpty()

@@ -94,7 +94,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     out = format_chats(rows.unionByName(probe)).select("conv_id", "formatted", "loss_spans", "round_trip")
     got = parse(F.col("formatted"))
-    loss = F.array_join(F.transform(F.filter(got, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    # what the mask covers, not what the parser calls an assistant's
+    piece = F.transform("loss_spans", lambda x: F.substr(F.col("formatted"), x["start"].cast("int"), x["length"].cast("int")))
+    loss = F.array_join(F.when(F.col("formatted").startswith(ESCAPED), F.transform(piece, unescape)).otherwise(piece), "")
     out = out.withColumn("turns", got).withColumn("loss", loss)
     digest = F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
     return out.select(
