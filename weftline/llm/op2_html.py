@@ -35,51 +35,74 @@ BOILER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer copyright sidebar side rail widget related recommended share sharing social follow subscribe subscription newsletter signup login popup modal overlay cookie cookies consent gdpr notice alert comment comments commentlist disqus replies discussion pagination pager tags toolbar form search".split()
 )
 CONTENT_NAMES = frozenset("article content entry post story main body maincontent articlebody".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/\"']|\Z)", re.I)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 NAME = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
+#: A class that begins so tells of a state of the page (a layout with a sidebar), not of what the element is.
+STATES = frozenset("with without has no non not layout".split())
 STRONG, WEAK, EDGE = 8.0, 2.0, 1.2
+#: An element with more of the page's text than this is no boilerplate for its class or id alone.
+SHARE = 0.8
+
+
+def named(value: str, tag: str) -> int:
+    """-1 or 1 if a class or id of the list names boilerplate or content, else 0; whole names decide, word by word."""
+    content = False
+    for token in html.unescape(value).split():
+        words = [x.lower() for x in NAME.split(token) if x]
+        if not words or words[0] in STATES:
+            continue
+        some = not CONTENT_NAMES.isdisjoint(words)
+        boiler = BOILER_NAMES.intersection(words)
+        if boiler == {"header"} and (some or tag in HEADINGS):
+            boiler = frozenset()  # an entry's own header
+        if boiler:
+            return -1
+        content |= some
+    return int(content)
 
 
 class Node:
-    """An open element: tag, parent, depth, and what its names say (+ content, - boilerplate, None hidden)."""
+    """An open element: tag, parent, depth, text size, what its tag and role (own) and its names say (+ content, - boilerplate), and the mark from all."""
 
-    __slots__ = ("depth", "hidden", "link", "mark", "parent", "tag")
+    __slots__ = ("depth", "hidden", "link", "mark", "named", "own", "parent", "size", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.hidden = bool(parent and parent.hidden) or tag in HIDDEN
         self.link = tag == "a" or bool(parent and parent.link)
-        mark, strength = (parent.mark if parent else 0.0), 0.0
-        if tag in BOILER_TAGS:
-            strength = -STRONG
-        elif tag in CONTENT_TAGS:
-            strength = STRONG
-        elif tag == "header":
-            strength = -STRONG
-        elif tag in ("h1", "h2", "h3") and parent and parent.tag == "header" and parent.parent and parent.parent.mark > 0:
+        self.mark, self.named, self.size = 0.0, 0, 0
+        self.own = STRONG if tag in CONTENT_TAGS else -STRONG if tag in BOILER_TAGS or tag == "header" else 0.0
+        names = []
+        for key, value in ATTR.findall(attrs) if attrs and not attrs.isspace() else ():
+            key, value = key.lower(), value.strip("\"'")
+            if key in ("class", "id"):
+                names.append(named(value, tag))
+            elif key == "role":
+                self.own = -STRONG if value.lower() in BOILER_ROLES else STRONG if value.lower() in CONTENT_ROLES else self.own
+            elif key == "style":
+                self.hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+                self.hidden = True
+        if names and tag not in ("html", "body", "article", "main"):
+            self.named = min(names) if min(names) < 0 else max(names)
+
+    def weigh(self, total: int) -> None:
+        """Sets the mark, once the parent's is set and all text sizes are known."""
+        parent, strength = self.parent, self.own
+        mark = parent.mark if parent else 0.0
+        if self.tag in ("h1", "h2", "h3") and parent and parent.tag == "header" and parent.parent and parent.parent.mark > 0:
             strength = STRONG  # an article's own heading stands in its header
-        if attrs and "=" in attrs or "hidden" in attrs:
-            names: set[str] = set()
-            for key, value in ATTR.findall(attrs):
-                key, value = key.lower(), value.strip("\"'")
-                if key in ("class", "id"):
-                    names.update(x.lower() for x in NAME.split(html.unescape(value)) if x)
-                elif key == "role":
-                    strength = -STRONG if value.lower() in BOILER_ROLES else STRONG if value.lower() in CONTENT_ROLES else strength
-                elif key == "style":
-                    self.hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-                elif key == "hidden" or value.lower() == "true":
-                    self.hidden = True
-            if names & BOILER_NAMES and tag not in ("html", "body", "article", "main"):
-                strength = -STRONG
-            elif names & CONTENT_NAMES and not strength:
-                strength = STRONG if parent is None or parent.mark >= 0 else 0.0
+        if self.named < 0 and self.size <= SHARE * total:
+            strength = -STRONG
+        elif self.named > 0 and not strength:
+            strength = STRONG if mark >= 0 else 0.0
         # what stands inside boilerplate stays boilerplate but for an article; the innermost word counts most
         self.mark = strength + 0.25 * mark if strength else mark
-        if strength > 0 and mark < 0 and tag not in CONTENT_TAGS and tag not in ("h1", "h2", "h3"):
+        if strength > 0 and mark < 0 and self.tag not in CONTENT_TAGS and self.tag not in ("h1", "h2", "h3"):
             self.mark = mark
 
 
@@ -93,6 +116,7 @@ class Block:
 def blocks(page: str) -> list[tuple[Node, str, float]]:
     """(element, text, share of link characters) of each block of text in page order."""
     root = here = Node("#root", "", None)
+    nodes: list[Node] = []
     out: list[Block] = []
     open_block: Block | None = None
     at, end = 0, len(page)
@@ -154,6 +178,7 @@ def blocks(page: str) -> list[tuple[Node, str, float]]:
         if tag in VOID:
             continue
         node = Node(tag, m[3], here)
+        nodes.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             if tag == "textarea" or stop is None:
@@ -162,6 +187,12 @@ def blocks(page: str) -> list[tuple[Node, str, float]]:
             at = stop.end()
             continue
         here = node
+    for b in out:
+        b.node.size += b.size
+    for x in reversed(nodes):
+        x.parent.size += x.size
+    for x in nodes:
+        x.weigh(root.size)
     done = []
     for b in out:
         text = " ".join("".join(b.parts).split())
