@@ -49,19 +49,23 @@ def render(turns: Column, escaped: bool) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """array<struct<role,text>> by the grammar above; a segment without a line end is a role with no text."""
+    """array<struct<role,text>> by the grammar above; null where the text does not follow it: a role or a text holds
+    a whole mark, a turn is not closed, or something stands outside the turns."""
     marked = formatted.startswith(ESCAPED)
     body = F.when(marked, F.substr(formatted, F.lit(len(ESCAPED) + 1))).otherwise(formatted)
-    parts = F.filter(F.split(body, r"\Q" + START + r"\E"), lambda p, i: i > 0)
+    pieces = F.split(body, r"\Q" + START + r"\E")
+    parts = F.filter(pieces, lambda p, i: i > 0)
+
+    def follows(p: Column) -> Column:
+        line, end = F.instr(p, "\n"), F.instr(p, END)
+        return (line > 0) & (line < end) & (end == F.length(p) - len(END)) & p.endswith(END + "\n")
 
     def turn(p: Column) -> Column:
         at = F.instr(p, "\n")
-        role = F.when(at > 0, F.substr(p, F.lit(1), at - 1)).otherwise(p)
-        rest = F.when(at > 0, F.substr(p, at + 1)).otherwise(F.lit(""))
-        text = F.when(rest.endswith(END + "\n"), F.substr(rest, F.lit(1), F.length(rest) - (len(END) + 1))).otherwise(rest)
+        role, text = F.substr(p, F.lit(1), at - 1), F.substr(p, at + 1, F.length(p) - at - (len(END) + 1))
         return F.struct(F.when(marked, unescape_role(role)).otherwise(role).alias("role"), F.when(marked, unescape(text)).otherwise(text).alias("text"))
 
-    return F.transform(parts, turn)
+    return F.when((F.get(pieces, F.lit(0)) == "") & F.forall(parts, follows), F.transform(parts, turn))
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
@@ -74,9 +78,9 @@ def format_chats(rows: DataFrame) -> DataFrame:
     conv = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     conv = conv.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     conv = conv.withColumn("plain", render(F.col("turns"), False))
-    conv = conv.withColumn("safe", parse(F.col("plain")) == F.col("turns"))
+    conv = conv.withColumn("safe", F.coalesce(parse(F.col("plain")) == F.col("turns"), F.lit(False)))
     conv = conv.withColumn("formatted", F.when(F.col("safe"), F.col("plain")).otherwise(render(F.col("turns"), True))).drop("plain")
-    conv = conv.withColumn("round_trip", parse(F.col("formatted")) == F.col("turns"))
+    conv = conv.withColumn("round_trip", F.coalesce(parse(F.col("formatted")) == F.col("turns"), F.lit(False)))
     # every text's place follows from the lengths before it: a running sum over a conversation's turns
     w = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = conv.select("conv_id", "safe", F.posexplode("turns").alias("i", "x"))
