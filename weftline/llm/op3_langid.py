@@ -6,14 +6,14 @@ was); candidates get the trigram log-probability, others are out of reach. Viter
 a penalty for each switch labels spans; words without letters score nothing and take their neighbours' label.
 The language with the most letters is the prediction and its share of the letters is the score.
 
-Training reads at most TRAIN_DOCS labelled documents (the smallest by a hash of the id), whole texts, and keeps
-their TRAIN_WORDS most frequent words.
+Training reads at most TRAIN_DOCS labelled documents (the smallest by a hash of id and text), whole texts. Their
+trigrams and scripts are counted where they stand; only those counts come to the driver.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-TRAIN_DOCS, TRAIN_WORDS, SWITCH, ALPHA, SHARE, KEPT_WORDS, SLICE, UNKNOWN = 3000, 500_000, 12.0, 0.05, 0.001, 250_000, 6_000_000, "und"
+TRAIN_DOCS, SWITCH, ALPHA, SHARE, KEPT_WORDS, SLICE, UNKNOWN = 3000, 12.0, 0.05, 0.001, 250_000, 6_000_000, "und"
 OUT_OF_REACH = -1e6
 
 # Ranges of code points, from the Unicode blocks.
@@ -51,27 +51,42 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join([c for c in word if c.isalpha()])
 
 
+def features(words: Counter) -> Counter:
+    """Trigrams of the words' letters, and their scripts by (SCRIPT, name)."""
+    out: Counter = Counter()
+    for word, k in words.items():
+        w = letters(word)
+        if w:
+            out[SCRIPT, script(w[0])] += k
+            padded = f"^^{w}$"
+            for j in range(len(w) + 1):
+                out[TRIGRAM, padded[j : j + 3]] += k
+    return out
+
+
+SCRIPT, TRIGRAM = "script", "trigram"
+
+
 class Model:
-    """Counts of (language, word) made into trigram probabilities and script shares."""
+    """Counts of (language, kind, feature) made into trigram probabilities and script shares."""
 
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        self.langs = sorted({lang for lang, _, _ in counts})
+    def __init__(self, counts: list[tuple[str, str, str, int]]):
+        self.langs = sorted({row[0] for row in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
         n = len(self.langs)
         tri: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
         con: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
         scr: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n))
         chars = set()
-        for lang, word, k in counts:
-            w, i = letters(word), at[lang]
-            if not w:
-                continue
-            scr[script(w[0])][i] += k
-            padded = f"^^{w}$"
-            for g in [padded[j : j + 3] for j in range(len(w) + 1)]:
-                tri[g][i] += k
-                con[g[:2]][i] += k
-            chars.update(w)
+        for lang, kind, x, k in counts:
+            i = at[lang]
+            if kind == SCRIPT:
+                scr[x][i] += k
+            else:
+                tri[x][i] += k
+                con[x[:2]][i] += k
+                chars.add(x[2])
+        chars.discard("$")
         size = len(chars) + 2
         total = sum(scr.values(), np.zeros(n))
         self.allowed = {s: v / np.maximum(total, 1) >= SHARE for s, v in scr.items()}
@@ -152,7 +167,8 @@ def viterbi(emit: np.ndarray, start: np.ndarray, size: np.ndarray, penalty: floa
     s, k = start[order], size[order]
     n, most = emit.shape[1], int(k[0]) if len(k) else 0
     value, back = np.zeros((len(k), n)), []
-    own = np.arange(n, dtype=np.int8)[None, :]
+    kind = np.int8 if n <= 127 else np.int32
+    own = np.arange(n, dtype=kind)[None, :]
     live = np.searchsorted(-k, -np.arange(most), side="left") if most else []
     for t in range(most):
         a = int(live[t])
@@ -161,7 +177,7 @@ def viterbi(emit: np.ndarray, start: np.ndarray, size: np.ndarray, penalty: floa
             top = v.argmax(axis=1)
             move = v[np.arange(a), top] - penalty
             stay = v >= move[:, None]
-            back.append(np.where(stay, own, top[:, None].astype(np.int8)))
+            back.append(np.where(stay, own, top[:, None].astype(kind)))
             v = np.where(stay, v, move[:, None])
         else:
             back.append(None)
@@ -177,16 +193,26 @@ def viterbi(emit: np.ndarray, start: np.ndarray, size: np.ndarray, penalty: floa
 
 
 def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Model | None:
-    """Fit on (doc_id, text, lang) rows that are labelled; None if there is none."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("place", F.xxhash64("doc_id"))
+    """Fit on (doc_id, text, lang) rows that are labelled, equal rows once; None if there is none."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("place", F.xxhash64("doc_id", "text"))
     last = known.select("place").orderBy("place").limit(limit).agg(F.max("place")).first()[0]
     if last is None:
         return None
-    sample = known.where(F.col("place") <= last)  # hashes alone are sorted; texts stay where they are
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
-    counted = words.groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(TRAIN_WORDS)
-    counts = [(r.lang, r.word, r.n) for r in counted.collect()]
-    return Model(counts) if counts else None
+    # hashes alone are sorted; texts stay where they are, but for the few of the sample
+    sample = known.where(F.col("place") <= last).dropDuplicates(["place"])
+
+    def count(batches):
+        words: dict[str, Counter] = defaultdict(Counter)
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words[lang].update(text.lower().split())
+        rows = [(lang, kind, x, n) for lang, w in words.items() for (kind, x), n in features(w).items()]
+        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, ["lang", "kind", "x", "n"])
+
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, kind string, x string, n long").groupBy("lang", "kind", "x").agg(F.sum("n").alias("n"))
+    counts = [tuple(r) for r in counted.collect()]
+    return Model(sorted(counts)) if counts else None
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
