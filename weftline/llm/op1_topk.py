@@ -1,10 +1,10 @@
 """Exact top-k search by inner product: ball trees, one a shard, searched by branch and bound.
 
-Every shard's vectors stand in a ball tree. A block of queries walks a chain of shards; in each it bounds
+Every shard's vectors stand in a ball tree, built once and stored with them. A block of queries walks a chain of shards; in each it bounds
 all nodes by <q, centre> + radius * |q|, visits leaves in order of the block's largest bound, and scores
-only the queries whose bound reaches their current k-th score. That score is carried from leaf to leaf and
-from shard to shard of the chain, and starts from a bounded common sample scored before the search, so
-that every chain prunes with the same first k-th score.
+only the queries whose bound reaches their current k-th score. That score starts from a bounded common
+sample, is carried from leaf to leaf and from shard to shard, and what the first chain ends with is every other chain's
+first bound: all chains share it.
 """
 
 from __future__ import annotations
@@ -83,24 +83,37 @@ class Best:
             self.score[r], self.vec[r] = s[keep], v[keep]
 
 
-def search(best: Best, q: np.ndarray, x: np.ndarray, ids: np.ndarray, tree) -> None:
-    order, nodes = tree
+class Tree:
+    """A shard: its vectors and ids in the order of the leaves, and its nodes as arrays."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, spans: np.ndarray, centres: np.ndarray, radii: np.ndarray):
+        self.x, self.ids, self.spans, self.centres, self.radii = x, ids, spans, centres, radii
+
+    @classmethod
+    def build(cls, x: np.ndarray, ids: np.ndarray) -> Tree:
+        order, nodes = ball_tree(x)
+        spans = np.array([[n[0], n[1], n[4], n[5]] for n in nodes], dtype=np.int64)
+        return cls(x[order], ids[order], spans, np.stack([n[2] for n in nodes]), np.array([n[3] for n in nodes]))
+
+
+def search(best: Best, q: np.ndarray, tree: Tree) -> None:
     norm = np.sqrt((q**2).sum(axis=1))
-    centres, radii = np.stack([n[2] for n in nodes]), np.array([n[3] for n in nodes])
-    bound = q @ centres.T + norm[:, None] * radii[None, :]
+    bound = q @ tree.centres.T + norm[:, None] * tree.radii[None, :]
     bound = bound * (1 + 1e-12) + 1e-6
-    heap = [0]
-    leaves = []
+    heap, leaves, kth = [0], [], best.kth()
     while heap:  # branches that no query can need are cut whole
         i = heap.pop()
-        if (bound[:, i] >= best.kth()).any():
-            heap += [nodes[i][4], nodes[i][5]] if nodes[i][4] >= 0 else []
-            leaves += [i] if nodes[i][4] < 0 else []
+        if (bound[:, i] >= kth).any():
+            left, right = tree.spans[i, 2:].tolist()
+            if left < 0:
+                leaves.append(i)
+            else:
+                heap += [left, right]
     for i in sorted(leaves, key=lambda i: -bound[:, i].max()):
         rows = np.flatnonzero(bound[:, i] >= best.kth())
         if len(rows):
-            at = order[nodes[i][0] : nodes[i][1]]
-            best.add(rows, ids[at], exact_scores(q[rows], x[at]))
+            lo, hi = tree.spans[i, :2].tolist()
+            best.add(rows, tree.ids[lo:hi], exact_scores(q[rows], tree.x[lo:hi]))
 
 
 def _matrix(col, dim: int) -> np.ndarray:
@@ -120,42 +133,55 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     chains = parts_for(shards, CHAIN)
     seeds = vectors.orderBy(F.xxhash64("vec_id")).limit(SEEDS).toPandas()
 
-    def pack(name):
-        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            dim = int(key[1])
-            x = np.array(pdf["v"].tolist(), dtype=np.float64).reshape(len(pdf), dim)
-            ids = pdf["vec_id"].to_numpy(np.int64)
-            floor = np.full(len(ids), NONE)
-            same = seeds[seeds["dim"] == dim]
-            if name == "q" and len(same) > k:
-                seed = exact_scores(x, np.array(same["v"].tolist(), dtype=np.float64).reshape(len(same), dim))
-                seed[ids[:, None] == same["vec_id"].to_numpy(np.int64)[None, :]] = NONE
-                floor = np.sort(seed, axis=1)[:, -k]
-            return pd.DataFrame({name: [int(key[0])], "dim": [dim], f"{name}_ids": [ids.tobytes()], f"{name}_x": [x.tobytes()], f"{name}_floor": [floor.tobytes()]})
+    def part_of(name: str, parts: int):
+        return F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(parts)).cast("int").alias(name)
+
+    def values(pdf: pd.DataFrame, dim: int) -> np.ndarray:
+        return np.array(pdf["v"].tolist(), dtype=np.float64).reshape(len(pdf), dim)
 
-        return run
+    def plant(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = Tree.build(values(pdf, int(key[1])), pdf["vec_id"].to_numpy(np.int64))
+        row = {"s": int(key[0]), "dim": int(key[1])} | {k: getattr(t, k).tobytes() for k in ("ids", "x", "spans", "centres", "radii")}
+        return pd.DataFrame([row])
 
-    def packed(df, name, parts):
-        of = F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(parts)).cast("int").alias(name)
-        return df.select("vec_id", "v", "dim", of).groupBy(name, "dim").applyInPandas(pack(name), f"{name} int, dim int, {name}_ids binary, {name}_x binary, {name}_floor binary")
+    def block_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        dim = int(key[1])
+        x, ids, floor = values(pdf, dim), pdf["vec_id"].to_numpy(np.int64), pdf["floor"].to_numpy(np.int64)
+        same = seeds[seeds["dim"] == dim]
+        if len(same) > k:
+            seed = exact_scores(x, values(same, dim))
+            seed[ids[:, None] == same["vec_id"].to_numpy(np.int64)[None, :]] = NONE
+            floor = np.maximum(floor, np.sort(seed, axis=1)[:, -k])
+        return pd.DataFrame({"q": [int(key[0])], "dim": [dim], "q_ids": [ids.tobytes()], "q_x": [x.tobytes()], "q_floor": [floor.tobytes()]})
 
-    s = written(packed(vectors, "s", shards).withColumn("chain", F.pmod("s", F.lit(chains))), "shards")
-    q = packed(queries, "q", blocks).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
+    trees = vectors.select("vec_id", "v", "dim", part_of("s", shards)).groupBy("s", "dim").applyInPandas(plant, "s int, dim int, ids binary, x binary, spans binary, centres binary, radii binary")
+    trees = written(trees.withColumn("chain", F.pmod("s", F.lit(chains))), "shards")
 
     def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
         dim, first = int(key[2]), pdf.iloc[0]
         ids = np.frombuffer(first["q_ids"], dtype=np.int64)
         block = _matrix(first["q_x"], dim) if dim else np.zeros((len(ids), 0))
         best = Best(ids, k, np.frombuffer(first["q_floor"], dtype=np.int64))
-        for sid, raw in zip(pdf["s_ids"], pdf["s_x"], strict=True):
-            vec = np.frombuffer(sid, dtype=np.int64)
-            x = _matrix(raw, dim) if dim else np.zeros((len(vec), 0))
-            search(best, block, x, vec, ball_tree(x))
+        for r in pdf.itertuples(index=False):
+            vec, radii = np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.radii)
+            x, centres = (_matrix(c, dim) if dim else np.zeros((n, 0)) for c, n in ((r.x, len(vec)), (r.centres, len(radii))))
+            search(best, block, Tree(x, vec, np.frombuffer(r.spans, dtype=np.int64).reshape(-1, 4), centres, radii))
         hit = best.vec != np.iinfo(np.int64).max
         row, _ = np.nonzero(hit)
         return pd.DataFrame({"query_id": ids[row], "vec_id": best.vec[hit], "score": best.score[hit]})
 
-    found = q.join(s, ["chain", "dim"]).groupBy("q", "chain", "dim").applyInPandas(walk, "query_id long, vec_id long, score long")
+    def walked(bounded: DataFrame, some) -> DataFrame:
+        """What the queries (with a floor each) find in some of the chains."""
+        q = bounded.select("vec_id", "v", "dim", "floor", part_of("q", blocks)).groupBy("q", "dim").applyInPandas(block_up, "q int, dim int, q_ids binary, q_x binary, q_floor binary")
+        q = q.withColumn("chain", F.explode(F.array(*map(F.lit, some))) if len(some) < 64 else F.explode(F.sequence(F.lit(some[0]), F.lit(some[-1]))))
+        return q.join(trees, ["chain", "dim"]).groupBy("q", "chain", "dim").applyInPandas(walk, "query_id long, vec_id long, score long")
+
+    found = walked(queries.withColumn("floor", F.lit(NONE)), range(1))
+    if chains > 1:
+        found = written(found, "first-chain")
+        reached = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k)
+        bounded = queries.join(reached, "vec_id", "left").withColumn("floor", F.coalesce("least", F.lit(NONE)))
+        found = found.unionByName(walked(bounded, range(1, chains)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
