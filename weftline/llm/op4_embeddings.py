@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import components, forest, parts_for, table, written
 
-M, RANGE_ROWS, TILE, MISS, SEED, WIDE = 24, 4096, 512, 1e-7, 20240607, 2.0
+M, RANGE_ROWS, TILE, MISS, SEED, WIDE = 24, 8192, 512, 1e-7, 20240607, 2.0
 
 
 def calibrated(threshold: float, m: int = M, wide: float = WIDE, miss: float = MISS) -> tuple[float, int]:
@@ -88,7 +88,11 @@ def near_vectors(df: DataFrame, threshold: float = 0.95) -> DataFrame:
 
     @F.pandas_udf("double")
     def first_projection(e: pd.Series) -> pd.Series:
-        return pd.Series([float(np.dot(np.asarray(x) / np.abs(x).max() / np.linalg.norm(np.asarray(x) / np.abs(x).max()), directions(len(x))[:, 0] / np.linalg.norm(directions(len(x))[:, 0]))) for x in e], dtype="float64")
+        size, out = np.array([len(x) for x in e], dtype=np.int64), np.zeros(len(e))
+        for dim in np.unique(size):
+            rows, first = np.flatnonzero(size == dim), directions(int(dim))[:, 0]
+            out[rows] = _unit(e.iloc[rows], int(dim)) @ (first / np.linalg.norm(first))
+        return pd.Series(out)
 
     classes = written(classes.withColumn("p", first_projection("e")), "vectors")
     count = classes.count()
