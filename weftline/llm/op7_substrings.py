@@ -8,7 +8,8 @@ its K-byte strings. Equal windows have their anchor at the same offset, so only
 2. Batches of texts send the distinct hashes of their anchors to hash buckets and get back those that another
    text has too.
 3. The remaining suffixes (with the bytes before them that their windows need; equal ones of a batch are one,
-   with their smallest document) are range-partitioned by their leading bytes between sampled splitters. A
+   with their smallest document) are range-partitioned by their leading bytes between splitters from a bounded sample; with
+   more than RANGES buckets each range is dealt on by a hash of the same bytes. A
    bucket sorts its suffixes by multikey quicksort (word by word, only inside runs of ties). Suffixes with equal
    leading bytes never part, so no comparison crosses a bucket's boundary. Neighbours that agree on all
    their bytes share all windows; in runs that agree on the first K bytes only, the windows are compared.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import BASE, BASE_INV, BYTE_CODES, mix64, parts_for, powers, table, written
 
 K, BATCH_BYTES, SEGMENT, ASK_BUCKET, SORT_BUCKET = 24, 6_000_000, 1_000_000, 1_500_000, 400_000
+#: Ranges at most, sampled suffixes a range, and sampled suffixes of one text at most: what the driver sees is bounded by them.
+RANGES, PER_RANGE, PER_TEXT = 1024, 64, 4096
 POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -264,7 +267,9 @@ def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
 
     expected = replies.agg(F.sum(F.length("h") / 8)).first()[0] or 0
     buckets = parts_for(int(expected), SORT_BUCKET)
-    splitters = sampled_splitters(texts, total, buckets)
+    ranges = min(buckets, RANGES)
+    splitters, deals = sampled_splitters(texts, total, ranges), parts_for(buckets, ranges)
+    buckets = ranges * deals
 
     def send(key, mine: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         cols = ["batch", "bucket", "ids", "docs", "ctx", "low", "high"]
@@ -275,8 +280,8 @@ def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
         least = np.full(len(ctx), np.iinfo(np.int64).max)
         np.minimum.at(least, of, first[doc])
         left = window - K
-        lead = np.ascontiguousarray(ctx[:, left : left + K]).view(f"S{K}").ravel()
-        bucket = np.searchsorted(splitters, lead, side="right")
+        lead = np.ascontiguousarray(ctx[:, left : left + K])
+        bucket = np.searchsorted(splitters, lead.view(f"S{K}").ravel(), side="right") * deals + dealt(lead, deals)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         out = []
@@ -355,15 +360,24 @@ def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     )
 
 
-def sampled_splitters(texts: DataFrame, total_bytes: int, buckets: int, per_bucket: int = 64) -> np.ndarray:
-    """Splitters of the suffixes' leading bytes from texts drawn by hash, enough for about per_bucket suffixes a bucket.
+def dealt(lead: np.ndarray, deals: int) -> np.ndarray:
+    """Which of the deals of its range a row of leading bytes goes to; equal ones together."""
+    if deals < 2:
+        return np.zeros(len(lead), dtype=np.int64)
+    h = np.zeros(len(lead), dtype=np.uint64)
+    for word in words_of(lead).T:
+        h = mix64(h + word)
+    return (h % np.uint64(deals)).astype(np.int64)
 
-    One anchor in 16 of a drawn text is taken, an anchor stands for about 14 bytes; at most four times the wish is read.
+
+def sampled_splitters(texts: DataFrame, total_bytes: int, ranges: int) -> np.ndarray:
+    """Splitters of the suffixes' leading bytes from texts drawn by hash, about 2 * PER_RANGE suffixes a range at most.
+
+    One anchor in 16 of a drawn text is taken, fewer where that is more than PER_TEXT; an anchor stands for about 14 bytes.
     """
-    if buckets < 2:
+    if ranges < 2:
         return np.zeros(0, dtype=f"S{K}")
-    want = buckets * per_bucket
-    one_in = max(1, total_bytes // (want * 14 * 16 * 2))
+    one_in = max(1, total_bytes // (ranges * PER_RANGE * 14 * 16 * 2))
     some = texts.where(F.pmod(F.xxhash64("digest", F.lit("sample")), F.lit(one_in)) == 0).select("raw")
 
     def leads(batches):
@@ -371,12 +385,12 @@ def sampled_splitters(texts: DataFrame, total_bytes: int, buckets: int, per_buck
             for raw in pdf["raw"]:
                 data = bytes(raw)
                 _, at, _, _, h = anchors(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-                pick = at[(h >> np.uint64(40)) % np.uint64(16) == 0]
+                pick = at[(h >> np.uint64(40)) % np.uint64(max(16, -(-len(at) // PER_TEXT))) == 0]
                 yield pd.DataFrame({"lead": [data[p : p + K] for p in pick.tolist()]})
 
-    got = [bytes(r.lead) for r in some.mapInPandas(leads, "lead binary").limit(4 * want).collect()]
+    got = [bytes(r.lead) for r in some.mapInPandas(leads, "lead binary").collect()]
     got = np.sort(np.array(got, dtype=f"S{K}"))
-    return np.unique(got[[len(got) * i // buckets for i in range(1, buckets)]]) if len(got) else got
+    return np.unique(got[[len(got) * i // ranges for i in range(1, ranges)]]) if len(got) else got
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
