@@ -94,3 +94,18 @@ def split_thinking(text: Column) -> Column:
     """struct(content, thinking): what stands outside and inside <think> tags; an open tag reaches to the end."""
     inside = F.array_join(F.regexp_extract_all(text, F.lit(r"(?s)<think>(.*?)(?:</think>|\z)"), F.lit(1)), "")
     return F.struct(F.regexp_replace(text, r"(?s)<think>.*?(?:</think>|\z)", "").alias("content"), inside.alias("thinking"))
+
+
+def short_date(at: Column) -> Column:
+    """Year to minute, as reports print a moment."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm")
+
+
+def grouped(n: Column, places: int = 0) -> Column:
+    """A number with commas between thousands and a fixed number of places."""
+    return F.format_number(n, places)
+
+
+def bar(per_cent: Column, step: int = 5) -> Column:
+    """A block for every full ``step`` per cent."""
+    return F.repeat(F.lit("\u2588"), F.floor(per_cent / step).cast("int"))

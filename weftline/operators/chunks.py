@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,16 +81,43 @@ def split_text(text: str | None, size: int = 512, overlap: int = 64, breaks: str
     return [c for c in out if c.strip()]
 
 
-def chunks_fast(text: Column, size: int = 512, overlap: int = 64, breaks: str = r"\n{2,}") -> Column:
-    """The same chunks by an Arrow-batched function, for long texts, where a fold copies its state at each step."""
+@lru_cache(maxsize=4)
+def vocabulary_counter(path: str):
+    """A token counter by a byte-pair vocabulary file of the tokenizers library; special tokens are not added."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def chunks_fast(text: Column, size: int = 512, overlap: int = 64, breaks: str = r"\n{2,}", vocabulary: str | None = None) -> Column:
+    """The same chunks by an Arrow-batched function, for long texts, where a fold copies its state at each step.
+
+    With the path of a vocabulary file, tokens are those of that vocabulary.
+    """
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap, breaks))
+        count = vocabulary_counter(vocabulary) if vocabulary else count_tokens
+        return texts.map(lambda t: split_text(t, size, overlap, breaks, count))
 
     return split(text)
 
 
+@F.udtf(returnType="chunk_index int, content string")
+class ChunkRows:
+    """A table function of (text, size, overlap): a row a chunk."""
+
+    def eval(self, text: str, size: int, overlap: int):
+        yield from enumerate(split_text(text, size, overlap))
+
+
+def register_chunks(spark, name: str = "chunks") -> None:
+    """Make ``SELECT ... FROM docs, LATERAL chunks(text, 512, 64)`` possible in SQL."""
+    spark.udtf.register(name, ChunkRows)
+
+
 def records(pages: DataFrame, chunked: Column, session_id: str = "local") -> DataFrame:
     """One row a chunk of (page_id, url, title, author, date, ...): chunk_id is page_id * 10000 + index."""
     x = pages.select("page_id", "url", "title", "author", "date", F.posexplode(chunked).alias("chunk_index", "content"))

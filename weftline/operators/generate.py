@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -10,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.generated import build_prompt, parse_items, to_messages
+from ..sources.tables import backoff
 
-#: (system, user) prompts in, responses out; a raised error fails only its own prompt.
-Generator = Callable[[str, str], str]
+#: (system, user) prompts in; the response out, or (response, prompt tokens, completion tokens, dollars). A raised error fails only its own prompt.
+Generator = Callable[[str, str], str | tuple[str, int, int, float]]
 
 
 def echo_generator(system: str, user: str) -> str:
@@ -22,30 +24,52 @@ def echo_generator(system: str, user: str) -> str:
     return json.dumps([{"question": f"What does the passage say about {' '.join(head.split()[:3])}?", "answer": head}])
 
 
-def complete(prompts: DataFrame, generator: Generator = echo_generator, attempts: int = 3) -> DataFrame:
-    """prompts (chunk_id, system, user) plus raw and error; failures give a null response, never a failed job."""
+def error_class(message: str) -> str:
+    """credentials, connection or other, by what the message says."""
+    m = message.lower()
+    if any(x in m for x in ("auth", "api key", "401", "403")):
+        return "credentials"
+    return "connection" if any(x in m for x in ("connect", "timeout", "unreachable")) else "other"
+
+
+def complete(prompts: DataFrame, generator: Generator = echo_generator, attempts: int = 3, wait: float = 2.0, longest: float = 20.0) -> DataFrame:
+    """prompts (chunk_id, system, user) plus raw, error, error_class, prompt_tokens, completion_tokens and cost_usd.
+
+    A generator returns the text, or (text, prompt tokens, completion tokens, dollars). Failures are tried again after
+    ``wait`` seconds, twice as long each time; they give a null response, never a failed job.
+    """
 
     def run(frames: Iterable[pd.DataFrame]):
         for pdf in frames:
-            raw, error = [], []
+            rows = []
             for s, u in zip(pdf["system"], pdf["user"], strict=True):
-                said, why = None, None
-                for _ in range(attempts):
+                row = (None, "no attempt", "other", 0, 0, 0.0)
+                for attempt in range(attempts):
+                    if attempt:
+                        time.sleep(backoff(attempt, wait, longest))
                     try:
-                        said, why = generator(s, u), None
+                        said = generator(s, u)
+                        row = (said, None, None, 0, 0, 0.0) if said is None or isinstance(said, str) else (said[0], None, None, *said[1:])
                         break
                     except Exception as e:  # noqa: BLE001  a generator may fail in any way; the row reports it
                         why = f"{type(e).__name__}: {e}"
-                raw.append(said)
-                error.append(why)
-            yield pdf.assign(raw=raw, error=error)[["chunk_id", "system", "user", "raw", "error"]]
+                        row = (None, why, error_class(why), 0, 0, 0.0)
+                rows.append(row)
+            more = pd.DataFrame(rows, columns=["raw", "error", "error_class", "prompt_tokens", "completion_tokens", "cost_usd"], index=pdf.index)
+            yield pd.concat([pdf[["chunk_id", "system", "user"]], more], axis=1)
+
+    return prompts.select("chunk_id", "system", "user").mapInPandas(run, "chunk_id long, system string, user string, raw string, error string, error_class string, prompt_tokens long, completion_tokens long, cost_usd double")
+
 
-    return prompts.select("chunk_id", "system", "user").mapInPandas(run, "chunk_id long, system string, user string, raw string, error string")
+def usage(said: DataFrame) -> DataFrame:
+    """(calls, prompt_tokens, completion_tokens, cost_usd, errors) of completions, one row."""
+    total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens", "cost_usd")]
+    return said.agg(F.count("*").alias("calls"), *total, F.count("error").alias("errors"))
 
 
-def generate(chunks: DataFrame, kind: str = "qa", goal: str = "", n: int = 3, custom: str = "", generator: Generator = echo_generator) -> DataFrame:
+def generate(chunks: DataFrame, kind: str = "qa", goal: str = "", n: int = 3, custom: str = "", generator: Generator = echo_generator, **how) -> DataFrame:
     """Samples (id, chunk_id, format, system_prompt, messages) of chunks (chunk_id, content); ids follow (chunk_id, item)."""
     prompts = chunks.withColumn("p", build_prompt(F.col("content"), kind, goal, n, custom)).select("chunk_id", "p.system", "p.user")
-    said = complete(prompts, generator)
+    said = complete(prompts, generator, **how)
     items = said.where("raw IS NOT NULL").select("chunk_id", F.col("system").alias("system_prompt"), F.posexplode(parse_items(F.col("raw"))).alias("item_pos", "item"))
     return items.select((F.col("chunk_id") * 1000 + F.col("item_pos")).alias("id"), "chunk_id", F.lit(kind).alias("format"), "system_prompt", to_messages(F.col("item"), kind).alias("messages"))

@@ -57,17 +57,17 @@ def histogram(df: DataFrame, bucket: Column, labels: list[str]) -> DataFrame:
     return F.broadcast(every).join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "rn", parts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     """df with its 1-based place in a total order, without gathering all rows in one task.
 
-    Rows are range-sorted; each partition counts its own rows; the counts' running sum (one row a
+    Rows are range-sorted into the session's number of shuffle partitions; each partition counts its own rows; the counts' running sum (one row a
     partition) is added to the place within the partition.
     """
     from ..storage import written
 
     cols = [f"_o{i}" for i in range(len(order))]
     keyed = df.withColumns(dict(zip(cols, order, strict=True)))
-    placed = keyed.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).withColumn("_m", F.monotonically_increasing_id())
+    placed = keyed.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_m", F.monotonically_increasing_id())
     placed = written(placed.withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND((1 << 33) - 1)}).drop("_m", *cols), "ranked")
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

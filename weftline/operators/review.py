@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.generated import clamp_score, normalised_score, parse_scores, review_example
-from .relational import ranked
+from ..functions.generated import REVIEW_PROMPT, clamp_score, normalised_score, parse_scores, review_example
+from ..storage import written
+from .relational import histogram, ranked
 
 
 def batches(samples: DataFrame, size: int = 5, limit: int | None = None) -> DataFrame:
@@ -37,6 +38,47 @@ def apply_scores(samples: DataFrame, responses: DataFrame, min_score: int = 3) -
     return out.withColumns({"quality_score": normalised_score(F.col("score")), "approved": F.col("score") >= min_score})
 
 
+def review(samples: DataFrame, rater, cap: float = 1.0, min_score: int = 3, size: int = 5, limit: int | None = None) -> DataFrame:
+    """samples (id, messages, ...) plus reviewed, score, quality_score, approved and cost (of the sample's batch).
+
+    rater: (system, user) in, (raw scores, dollars) out. A batch is asked while what the batches before it cost is below the cap; a
+    rater that fails gives the default score. Samples beyond the cap or the limit keep the scores they had.
+    """
+    taken = written(batches(samples.select("id", "messages"), size, limit), "review-batches")
+
+    def ask(frames):
+        for pdf in frames:
+            said, cost, spent = [], [], 0.0
+            for prompt in pdf["prompt"]:
+                raw, price = None, None
+                if spent < cap:
+                    try:
+                        raw, price = rater(REVIEW_PROMPT, prompt)
+                    except Exception:  # noqa: BLE001  a rater may fail in any way; its batch gets the default score
+                        raw, price = "", 0.0
+                    spent += price
+                said.append(raw)
+                cost.append(price)
+            yield pdf.assign(raw=said, cost=cost)[["batch", "raw", "cost"]]
+
+    # the cap orders the calls: they follow one another, as many as it pays for
+    asked = batch_prompts(taken).repartition(1).sortWithinPartitions("batch").select("batch", "prompt").mapInPandas(ask, "batch long, raw string, cost double")
+    asked = written(asked.where("raw IS NOT NULL"), "reviews")
+    scored = apply_scores(taken.join(asked.select("batch"), "batch", "left_semi").select("id", "batch", "pos"), asked.select("batch", "raw"), min_score)
+    scored = scored.join(asked.select("batch", "cost"), "batch").select("id", "score", "quality_score", "approved", "cost")
+    out = samples.drop(*[c for c in ("score", "cost") if c in samples.columns])
+    old = {c: F.col(c) if c in out.columns else F.lit(None) for c in ("quality_score", "approved")}
+    joined = out.select([c for c in out.columns if c not in old] + [x.alias(f"old_{c}") for c, x in old.items()]).join(scored, "id", "left")
+    return joined.withColumns({"reviewed": F.col("score").isNotNull(), **{c: F.coalesce(c, f"old_{c}") for c in old}}).drop("old_quality_score", "old_approved")
+
+
+def score_report(reviewed: DataFrame) -> DataFrame:
+    """(score, n, mean) for each score from 1 to 5, zeros too; mean: the scores' mean, 0 without any."""
+    mean = reviewed.agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean"))
+    counts = histogram(reviewed.where("score IS NOT NULL"), F.col("score").cast("string"), [str(i) for i in range(1, 6)])
+    return counts.select(F.col("label").cast("int").alias("score"), "n").crossJoin(F.broadcast(mean))
+
+
 def estimate(n_samples: int, size: int = 5) -> tuple[int, int, float]:
     """(calls, tokens, dollars) at 600 tokens a batch and $2 a million."""
     calls = -(-n_samples // size)

@@ -49,6 +49,11 @@ def toggle_view(state: DataFrame, select: bool) -> DataFrame:
     return state.withColumn("selected", F.when(F.col("in_view"), F.lit(select)).otherwise(F.col("selected")))
 
 
+def visible_selected(state: DataFrame) -> DataFrame:
+    """(n): how many URLs are both in view and selected."""
+    return state.agg(F.count_if(F.col("in_view") & F.col("selected")).alias("n"))
+
+
 def page(df: DataFrame, number: int, order: list[str | Column], size: int = PAGE_SIZE) -> DataFrame:
     return df.orderBy(*order).offset(number * size).limit(size)
 

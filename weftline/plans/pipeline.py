@@ -93,7 +93,9 @@ class Pipeline:
                 self.pre_stage(stage)
             if stage == "export":
                 rows = local.export_rows(self.read("quality").withColumn("session_id", F.lit(self.cfg.session_id)))
-                local.export_all(rows, f"{self.root}/export/{self.cfg.session_id}")
+                paths = local.export_all(rows, f"{self.root}/export/{self.cfg.session_id}")
+                for kind, path in paths.items():
+                    local.append_table(local.export_log(rows.count(), self.spark, self.cfg.session_id, "local", path, kind, stage), self.root, "export_log")
                 out = rows
             else:
                 out = self.save(stage, steps[stage]())

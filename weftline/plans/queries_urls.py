@@ -138,10 +138,12 @@ def q28(spark, sf):
     return x.where(urls.is_followable(F.col("href"))).select("page_id", "pos", urls.resolve(F.col("href"), F.col("url")).alias("link"))
 
 
-@query("q29_spa_candidate", f"SELECT page_id, {ARTICLE_WORDS} > 80 AND len(regexp_extract_all(html, '<a\\s+href=\"([^\"]*)\"', 1)) < 6 AS candidate FROM pages")
+ARTICLE_CHARS = r"length(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')))"
+
+
+@query("q29_spa_candidate", f"SELECT page_id, {ARTICLE_CHARS} > 500 AND len(regexp_extract_all(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<a\\s+href=')) < 3 AS candidate FROM pages")
 def q29(spark, sf):
-    few = F.size(markup.hrefs(F.col("html"))) < 6
-    return table(spark, sf, "pages").select("page_id", ((markup.article_words(F.col("html")) > 80) & few).alias("candidate"))
+    return table(spark, sf, "pages").select("page_id", discovery.is_app_candidate(F.col("html"), F.col("url")).alias("candidate"))
 
 
 @query("q30_anti_known", "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")

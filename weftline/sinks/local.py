@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chat import sharegpt
@@ -54,6 +54,21 @@ def write_chunks_by_page(records: DataFrame, path: str) -> None:
     records.withColumn("page", F.col("metadata.page_id")).write.mode("overwrite").partitionBy("page").json(path)
 
 
+def write_raw_pages(pages: DataFrame, path: str) -> None:
+    """The markdown of (page_id, markdown), a folder a page: ``page_id=N/part-*.txt``, as raw_pages reads it."""
+    pages.select("page_id", F.coalesce("markdown", F.lit("")).alias("value")).repartition("page_id").write.mode("overwrite").partitionBy("page_id").text(path)
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """(value): each row as one JSON object, nulls too; what a report prints in its JSON mode."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def run_stamp(at: Column | None = None) -> Column:
+    """The moment (now by default) as YYYYmmdd_HHMMSS, for names of exports."""
+    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss")
+
+
 def write_split(df: DataFrame, path: str, key: str = "id", ratio: float = 0.1, seed: int = 42) -> None:
     exact_split(df, key, ratio, seed).write.mode("overwrite").partitionBy("split").parquet(path)
 
@@ -88,7 +103,8 @@ def replace_session(df: DataFrame, root: str, name: str) -> None:
 
 def export_log(df_count: int, spark, session_id: str, destination: str, path: str, kind: str, stage: str) -> DataFrame:
     row = [(session_id, destination, path, kind, df_count, stage)]
-    return spark.createDataFrame(row, "session_id string, destination string, path_or_url string, format string, sample_count int, stage_snapshot string").withColumn("exported_at", F.current_timestamp())
+    out = spark.createDataFrame(row, "session_id string, destination string, path_or_url string, format string, sample_count int, stage_snapshot string")
+    return out.withColumn("exported_at", F.current_timestamp()).withColumn("run_stamp", run_stamp())
 
 
 def merge_checkpoint(old: DataFrame, new: DataFrame, key: str, counters: list[str]) -> DataFrame:

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import is_http_url, is_page_url, matches, on_domain
+from ..functions.markup import extract
+from ..functions.urls import bare_host, is_http_url, is_page_url, matches, on_domain, sanitise
 from ..operators.relational import first_nonempty, keep_first
 from ..storage import written
 
@@ -97,34 +98,46 @@ def sitemap_children(bodies: DataFrame) -> DataFrame:
 def sitemap_closure(fetched: DataFrame, seed: str) -> DataFrame:
     """(ord, url) of all pages under a sitemap or index, depth first, each file once; fetched: (url, status, body).
 
-    The frontier advances a level a round; the path of positions from the seed orders files as a depth-first walk.
+    A file stands where a depth-first walk meets it first: at its smallest path of positions among those that visit no file
+    twice. Paths only get smaller, so rounds that hand a file's path to its children end, however deep the indexes are.
     """
     spark = fetched.sparkSession
     good = fetched.where("status = 200").select("url", "body")
-    frontier = spark.createDataFrame([(seed, [0])], "url string, walk array<int>")
-    seen = frontier
-    edges = written(sitemap_children(good), "sitemap-edges")
-    while True:  # ends where no file is new
-        nxt = frontier.withColumnRenamed("url", "parent").join(edges, "parent").select("url", F.concat("walk", F.array("pos")).alias("walk"))
-        nxt = keep_first(nxt, ["url"], ["walk"]).join(seen.select("url"), "url", "left_anti")
-        frontier = written(nxt, "sitemap-frontier")
-        if frontier.isEmpty():
+    edges = written(sitemap_children(good).where("url <> ''"), "sitemap-edges")
+    walks = changed = spark.createDataFrame([(seed, [0], [seed])], "url string, walk array<int>, files array<string>")
+    while True:
+        step = changed.withColumnsRenamed({"url": "parent"}).join(edges, "parent").where(~F.array_contains("files", F.col("url")))
+        step = step.select("url", F.concat("walk", F.array("pos")).alias("walk"), F.concat("files", F.array("url")).alias("files"))
+        # the least path of all rounds: a longer one may come first
+        best = walks.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False)))
+        best = best.groupBy("url").agg(F.min_by(F.struct("walk", "files", "old"), F.struct("walk", ~F.col("old"))).alias("b"))
+        best = written(best.select("url", "b.*"), "sitemap-walks")
+        walks, changed = best.drop("old"), best.where("NOT old").drop("old")
+        if changed.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    rows = sitemap_urls(good.join(seen.select("url"), "url", "left_semi"))
-    rows = rows.join(seen.select(F.col("url").alias("sitemap"), "walk"), "sitemap")
+    rows = sitemap_urls(good.join(walks.select("url"), "url", "left_semi"))
+    rows = rows.join(walks.select(F.col("url").alias("sitemap"), "walk"), "sitemap")
     return rows.select(F.concat("walk", F.array("pos")).alias("ord"), "url")
 
 
+def is_app_candidate(html: Column, url: Column) -> Column:
+    """Whether a page may draw its links by script: over 500 characters of text, under 3 links to pages of its own host."""
+    found = extract(html, url)
+    links = F.filter(F.transform(found["links"], sanitise), lambda x: x.isNotNull())
+    own = F.filter(F.array_distinct(links), lambda x: (bare_host(x) == bare_host(url)) & is_page_url(x))
+    return (F.size(own) < 3) & (F.length(found["text"]) > 500)
+
+
 def crawl(pages: DataFrame, links: DataFrame, seed: str, max_pages: int = 50, max_depth: int = 3, pattern: str | None = None) -> DataFrame:
     """(url, depth, visit): breadth-first visits from a seed over links (src, pos, dst), only pages with status 200 and html.
 
     A level is one join of the frontier with the links; a URL is visited at its first place in queue order
-    (level, place of its source in the level, place of the link).
+    (level, place of its source in the level, place of the link). Links are sanitised first; those that are no web address go.
     """
     spark = pages.sparkSession
     seed_domain = seed.split("//", 1)[-1].split("/", 1)[0]
     good = pages.where((F.col("status") == 200) & F.contains(F.coalesce("content_type", F.lit("")), F.lit("html"))).select("url").distinct()
+    links = links.withColumn("dst", sanitise(F.col("dst"))).where("dst IS NOT NULL")
     edges = links.where(on_domain(F.col("dst"), seed_domain) & matches(F.col("dst"), pattern) & is_page_url(F.col("dst"))).select("src", "pos", "dst")
     frontier = spark.createDataFrame([(seed, 0, 1)], "url string, depth int, rank int")
     queued, visited = frontier.select("url"), None
@@ -148,8 +161,6 @@ def dispatch(seeds: DataFrame, sitemap: DataFrame, crawled: DataFrame) -> DataFr
 
     seeds: (seed_ord, seed); sitemap, crawled: (seed, ord, url).
     """
-    from ..functions.urls import bare_host
-
     s = sitemap.join(seeds, "seed").withColumn("source", F.lit("sitemap"))
     own = s.where(F.col("seed").endswith(".xml") | (bare_host(F.col("url")) == bare_host(F.col("seed"))))
     c = crawled.join(seeds, "seed").withColumn("source", F.lit("crawl"))

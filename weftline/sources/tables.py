@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -34,27 +35,39 @@ def by_prefix(df: DataFrame, key: str, prefix: str) -> DataFrame:
 
 
 def raw_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, markdown) of saved page files; missing files are simply absent."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("markdown"))
+    """(path, markdown) of saved page files, and page_id where folders name it; missing files are simply absent."""
+    found = spark.read.text(path, wholetext=True)
+    ids = [c for c in found.columns if c == "page_id"]
+    return found.select(*ids, F.input_file_name().alias("path"), F.regexp_replace("value", r"\n\z", "").alias("markdown"))
 
 
 def json_dataset(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(ddl).json(path)
 
 
+def backoff(attempt: int, wait: float, longest: float) -> float:
+    """Seconds before the attempt of this number (from 1)."""
+    return min(longest, wait * 2 ** (attempt - 1))
+
+
 #: url in; (status, content type, body) out.
 Fetcher = Callable[[str], tuple[int, str, str]]
 
 
-def fetch(urls: DataFrame, fetcher: Fetcher, attempts: int = 3) -> DataFrame:
-    """urls (url) plus status, content_type, body and error; transport errors are tried again, none fails the job."""
+def fetch(urls: DataFrame, fetcher: Fetcher, attempts: int = 3, wait: float = 2.0, longest: float = 30.0) -> DataFrame:
+    """urls (url) plus status, content_type, body and error; transport errors are tried again, none fails the job.
+
+    Between attempts it waits ``wait`` seconds, twice as long each time, ``longest`` at most.
+    """
 
     def run(frames: Iterable[pd.DataFrame]):
         for pdf in frames:
             rows = []
             for url in pdf["url"]:
                 row = (url, None, None, None, "no attempt")
-                for _ in range(attempts):
+                for attempt in range(attempts):
+                    if attempt:
+                        time.sleep(backoff(attempt, wait, longest))
                     try:
                         row = (url, *fetcher(url), None)
                         break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,26 @@ def counters(stream: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def usage(stream: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events a window and type, with late rows accepted up to ``late``."""
     w = F.window(ts, width)
-    return stream.withWatermark(ts, late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def paced(stream: DataFrame, rate: float = 2.0, burst: float | None = None) -> DataFrame:
+    """(host, ts, delay) of requests (host, ts): the seconds until a token of the host's bucket is there, kept as state across batches."""
+    room = burst or 2 * rate
+
+    def spend(key, frames, state):
+        tokens, then = state.get if state.exists else (room, None)
+        asked = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        now = asked["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+        delay = []
+        for t in now.tolist():
+            tokens = min(room, tokens + max(0.0, t - (t if then is None else then)) * rate) - 1
+            then = t if then is None else max(then, t)
+            delay.append(max(0.0, -tokens / rate))
+        state.update((tokens, then))
+        yield pd.DataFrame({"host": key[0], "ts": asked["ts"].to_numpy(), "delay": delay})
+
+    return stream.select("host", "ts").groupBy("host").applyInPandasWithState(spend, "host string, ts timestamp, delay double", "tokens double, at double", "append", "NoTimeout")
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str):
