@@ -52,7 +52,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
     _begin(spark)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         _end(spark)
     return spark.read.schema(df.schema).parquet(path)
