@@ -160,64 +160,101 @@ def components(edges: DataFrame, per_part: int = 1_000_000) -> DataFrame:
             return e
 
 
-BLOCK, SMALL, TASK, AT_ONCE = 2048, 48, 40_000, 100_000
+#: Rows of a block of a large bucket; rows of a bucket compared by offsets; slots of a task; pairs weighed at once.
+BLOCK, SMALL, TASK, AT_ONCE = 2048, 48, 16_384, 4096
+LEFT, RIGHT = 2, 1
 
 
-def best_pairs(pdf: pd.DataFrame, likeness, top: int | None) -> pd.DataFrame:
-    """(a, b, cut): plausible pairs of different roots within the rows' slots, the ``top`` likeliest of each id; cut: some were left out."""
+def _slots(pdf: pd.DataFrame):
+    """The rows in the order of their slots: (first row and size of each slot, key, id, root, side, sketch)."""
     order = np.lexsort((pdf["j"], pdf["i"], pdf["key"]))
-    key, i, j, block = (pdf[c].to_numpy(np.int64)[order] for c in ("key", "i", "j", "block"))
-    ids, root = pdf["id"].to_numpy()[order], pd.factorize(pdf["root"])[0][order]
-    sketch = np.frombuffer(b"".join(pdf["sketch"].to_numpy()[order]), dtype=np.uint8).reshape(len(pdf), -1)
+    key, i, j, side = (pdf[c].to_numpy(np.int64)[order] for c in ("key", "i", "j", "side"))
     new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
     size = np.diff(np.concatenate((new, [len(key)])))
+    return new, size, key, pdf["id"].to_numpy()[order], pd.factorize(pdf["root"])[0][order], side, pdf["sketch"].to_numpy()[order]
+
+
+def best_pairs(pdf: pd.DataFrame, likeness, top: int | None) -> pd.DataFrame:
+    """(a, b, cut): plausible pairs of different roots, a left and a right row of one slot, the likeliest ``top`` of an id or so;
+    and a row with the key alone, as cut, of each bucket of which some were left out."""
+    new, size, key, ids, root, side, sketch = _slots(pdf)
+    sketch = np.frombuffer(b"".join(sketch), dtype=np.uint8).reshape(len(pdf), -1)
     group = np.repeat(np.arange(len(new)), size)
-    found = []
+    left = (side & LEFT) > 0
+    found, cut = [], []
 
     def weigh(p, q):
+        """The plausible ones of the pairs (p, q) with their scores."""
+        out = []
         for s in range(0, len(p), AT_ONCE):
             x, y = p[s : s + AT_ONCE], q[s : s + AT_ONCE]
-            apart = root[x] != root[y]
+            apart = (root[x] != root[y]) & (left[x] | left[y])
             x, y = x[apart], y[apart]
             if len(x):
                 score, ok = likeness(sketch[x], sketch[y])
-                found.append((x[ok], y[ok], score[ok]))
+                out.append((x[ok], y[ok], score[ok]))
+        return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
 
-    small = np.flatnonzero((size[group] <= SMALL) & (i == j))
+    single = side == LEFT + RIGHT
+    whole = np.minimum.reduceat((single | (side == RIGHT)).astype(np.int8), new) > 0  # the bucket is in one slot
+    small = np.flatnonzero((size <= SMALL)[group] & whole[group])
     for d in range(1, SMALL):
         p = small[small + d < len(key)]
         p = p[group[p] == group[p + d]]
         if not len(p):
             break
-        weigh(p, p + d)
-    for g in np.flatnonzero((size > SMALL) | (i[new] != j[new])):
+        found.append(weigh(p, p + d))
+    for g in np.flatnonzero((size > SMALL) | ~whole):
         rows = np.arange(new[g], new[g] + size[g])
-        rare = root[rows] != np.bincount(root[rows]).argmax()  # pairs within the commonest component are connected
-        if i[new[g]] == j[new[g]]:
-            for r in rows[rare]:
-                other = rows[(~rare) | (rows > r)]
-                weigh(np.full(len(other), r), other)
-        else:
-            left = block[rows] == i[rows]
-            for r, is_rare in zip(rows[left], rare[left], strict=True):
-                other = rows[~left] if is_rare else rows[~left & rare]
-                weigh(np.full(len(other), r), other)
-    if not found:
-        return pd.DataFrame({"a": ids[:0], "b": ids[:0], "cut": np.zeros(0, bool)})
-    x, y, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        right = rows[(side[rows] & RIGHT) > 0]
+        best, of = np.full(size[g], -np.inf), np.zeros(size[g], dtype=np.int64)
+        for r in rows[left[rows]]:
+            other = right[(~single[right]) | (~left[right]) | (right > r)]
+            x, y, score = weigh(np.full(len(other), r), other)
+            if top is not None and len(y) > top:
+                better = score > best[y - new[g]]  # what is cut here may be the likeliest partner of the other end
+                best[y[better] - new[g]], of[y[better] - new[g]] = score[better], r
+                few = np.argpartition(-score, top - 1)[:top]
+                x, y, score = x[few], y[few], score[few]
+                cut.append(new[g])
+            found.append((x, y, score))
+        y = np.flatnonzero(best > -np.inf)
+        found.append((of[y], y + new[g], best[y]))
+    x, y, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
     keep = np.ones(len(x), dtype=bool)
-    if top is not None:
-        keep[:] = False
-        for end in (x, y):
-            code = pd.factorize(ids[end])[0]
-            by = np.lexsort((-score, code))
-            first = np.flatnonzero(np.concatenate(([True], code[by][1:] != code[by][:-1])))
+    if top is not None and len(x):
+        one, two = pd.factorize(ids)[0][x], pd.factorize(ids)[0][y]
+        pair = np.minimum(one, two) * len(ids) + np.maximum(one, two)
+        once = np.unique(pair, return_index=True)[1]
+        good = np.zeros(len(once), dtype=bool)
+        for end in (one[once], two[once]):
+            by = np.lexsort((-score[once], end))
+            first = np.flatnonzero(np.concatenate(([True], end[by][1:] != end[by][:-1])))
             rank = np.arange(len(by)) - np.repeat(first, np.diff(np.concatenate((first, [len(by)]))))
-            keep[by[rank < top]] = True
-    cut = not keep.all()
+            good[by[rank < top]] = True
+        keep = np.isin(pair, pair[once[good]])
+    cut = np.unique(key[np.concatenate([np.array(cut, dtype=np.int64), x[~keep]])])
     x, y = ids[x[keep]], ids[y[keep]]
     swap = x > y
-    return pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y), "cut": cut})
+    pairs = pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)}).drop_duplicates().assign(cut=None)
+    return pd.concat([pairs.astype({"cut": "Int64"}), pd.DataFrame({"a": None, "b": None, "cut": pd.array(cut, "Int64")})]).astype({"a": "Int64", "b": "Int64"})
+
+
+def forest_links(pdf: pd.DataFrame, linker) -> pd.DataFrame:
+    """(a, b): of the links between left and right rows of the slots, given whole values, as many as connect what they connect."""
+    new, size, _, ids, root, side, value = _slots(pdf)
+    out = []
+    for start, n in zip(new.tolist(), size.tolist(), strict=True):
+        rows = np.arange(start, start + n)
+        link, name = linker(value[start : start + n]), root[start : start + n].copy()
+        right = np.flatnonzero((side[rows] & RIGHT) > 0)
+        for r in np.flatnonzero((side[rows] & LEFT) > 0):
+            others = right[name[right] != name[r]]
+            for y in others[link(int(r), others)] if len(others) else ():
+                if name[y] != name[r]:
+                    out.append((ids[start + r], ids[start + y]))
+                    name[name == name[y]] = name[r]
+    return pd.DataFrame([(min(x), max(x)) for x in out], columns=["a", "b"], dtype="int64")
 
 
 def _comparison(likeness, top: int | None):
@@ -227,51 +264,111 @@ def _comparison(likeness, top: int | None):
     return compare
 
 
-def linked_groups(members: DataFrame, sketches: DataFrame, likeness, verify, rounds=((8, 1), (1, 2), (1, 16), (1, 256), (1, None))) -> DataFrame:
+def _linking(linker):
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        return forest_links(pdf, linker)
+
+    return link
+
+
+def slots(block: int) -> str:
+    """The slots of a row: the whole bucket in one; else rare rows stand left in all blocks and every row stands right beside all blocks of rare rows."""
+    return f"""CASE WHEN size <= {block} THEN array(struct(0L AS i, 0L AS j, IF(rare, {LEFT + RIGHT}, {RIGHT}) AS side))
+  WHEN is_first THEN array(struct(pmod(xxhash64(id, key), ceil(size / {block})) AS i, 0L AS j, {LEFT + RIGHT} AS side))
+  ELSE concat(
+    transform(sequence(0L, ceil(n_rare / {block}) - 1), x -> struct(x AS i, pmod(xxhash64(id), ceil(size / {block})) AS j, {RIGHT} AS side)),
+    IF(rare, transform(sequence(0L, ceil(size / {block}) - 1), x -> struct(pmod(xxhash64(id, 0), ceil(n_rare / {block})) AS i, x AS j, {LEFT} AS side)), array()))
+  END"""
+
+
+def linked_groups(members: DataFrame, sketches: DataFrame, likeness, verify, rounds=((8, 1), (1, 2), (1, 16), (1, 256), (1, None)), links: DataFrame | None = None, whole=None, linker=None) -> DataFrame:
     """(id, root) of the graph of verified links between ids of the same bucket, for ids that are not their own root.
 
-    members: (key, id); all ids of a key are candidates of one another. sketches: (id, sketch), joined only to the
+    members: (key, id), both long; all ids of a key are candidates of one another. sketches: (id, sketch), joined only to the
     ids of open buckets. ``likeness`` takes two arrays of sketches (rows of bytes) and returns a score and whether a link is plausible; ``verify`` takes pairs
-    (a, b), a < b, and returns those that link. A round compares the sketches of ids that are not yet connected, inside
-    tasks of bounded size (large buckets are cut into blocks, a task for each pair of blocks), and sends only the
-    likeliest partners of each id to ``verify``. rounds: (one bucket in so many, partners of an id); the first
-    looks at a few buckets to connect most copies cheaply, those from one in one on at all, the last at all pairs. Once a
-    group of copies is connected, none of its pairs is looked at again, and the rounds end only when every
-    plausible pair of a bucket was verified or is connected: no link between components is missed.
+    (a, b), a < b, and returns those that link. links: pairs known to link. A round compares the sketches of ids that are not yet connected, inside
+    tasks of bounded size, and sends only the likeliest partners of each id to ``verify``. rounds: (one bucket in so many,
+    partners of an id). The first looks at a few buckets, and at large ones block by block, to connect most copies cheaply; those from one in
+    one on look at all pairs of ids of different components of a bucket, the last without a bound on partners. In a large bucket only ids beyond its commonest
+    component are compared with all others, in blocks, a task for each pair of blocks. Once a
+    group of copies is connected, none of its pairs is looked at again. A bucket is done when all its ids are connected or all its plausible pairs were
+    verified: no link between components is missed. With ``whole`` and ``linker`` buckets that the rounds leave open are compared by whole values:
+    whole(ids) gives (id, sketch) with the value as sketch, linker(values) a function of a row and rows that says which link; tasks return no more pairs than connect their ids.
     """
     kind = members.dtypes[members.columns.index("id")][1]
     members = members.select("key", "id").distinct()
     sized = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     m = written(members.join(sized, "key"), "members")
-    none = m.sparkSession.createDataFrame([], f"id {kind}, root {kind}")
-    links, tested, roots = None, None, none
-    for one_in, top in rounds:
-        named = m.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        live = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        named = named.join(live, "key", "left_semi")
-        if one_in > 1:
-            named = named.where(F.pmod(F.xxhash64("key", F.lit("first")), F.lit(one_in)) == 0)
-        named = written(named, "open")
-        n = named.count()
-        if not n and one_in == 1:
+    roots = None if links is None else written(components(links), "roots")
+    tested = None
+    for one_in, top in (*rounds, (1, "whole")) if whole else rounds:
+        first, last = one_in > 1, top == "whole"
+        named = m.where(F.pmod(F.xxhash64("key", F.lit("first")), F.lit(one_in)) == 0) if first else m
+        if roots is None:
+            named = named.withColumn("root", F.col("id"))
+        else:
+            named = named.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+            live = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+            named = named.join(live, "key", "left_semi")
+        if first or roots is None:
+            named = named.selectExpr("*", "true AS rare", "size AS n_rare")
+        else:
+            named = written(named, "live")
+            common = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("common"), F.max("n").alias("most"))
+            named = named.join(common, "key").selectExpr("key", "id", "size", "root", "root <> common AS rare", "size - most AS n_rare")
+        block, task = (BLOCK // 4, TASK // 4) if last else (BLOCK, TASK if top else BLOCK)
+        named = written(named.selectExpr("*", f"{first} AS is_first").selectExpr("key", "id", "size", "root", f"{slots(block)} AS slots"), "open")
+        n = named.agg(F.sum(F.size("slots"))).first()[0]
+        if not n:
+            if first:
+                continue
             break
-        blocks = F.ceil(F.col("size") / BLOCK)
-        slot = named.join(sketches.select("id", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        slot = slot.select("key", "id", "root", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        slot = slot.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts_for(max(n, 1), TASK))))
-        pairs = slot.groupBy("task").applyInPandas(_comparison(likeness, top), f"a {kind}, b {kind}, cut boolean")
-        pairs = written(pairs.groupBy("a", "b").agg(F.max("cut").alias("cut")), "pairs")
-        cut = not pairs.where("cut").isEmpty()
-        fresh = pairs.select("a", "b")
+        values = whole(written(named.select("id").distinct(), "open-ids")) if last else sketches
+        slot = named.join(values.select("id", "sketch"), "id").selectExpr("key", "id", "root", "sketch", "inline(slots)")
+        slot = slot.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts_for(n, task))))
+        if last:
+            found = slot.groupBy("task").applyInPandas(_linking(linker), f"a {kind}, b {kind}")
+            links = written(found if links is None else links.unionByName(found), "links")
+            return written(components(links), "roots")
+        pairs = slot.groupBy("task").applyInPandas(_comparison(likeness, top), f"a {kind}, b {kind}, cut long")
+        pairs = written(pairs.distinct(), "pairs")
+        fresh = pairs.where("cut IS NULL").select("a", "b")
         if tested is not None:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
         if not fresh.isEmpty():
             found = written(verify(fresh).select("a", "b"), "links")
             links = found if links is None else links.unionByName(found)
-            tested = fresh if tested is None else tested.unionByName(pairs.select("a", "b"))
+            tested = fresh if tested is None else tested.unionByName(pairs.where("cut IS NULL").select("a", "b"))
             roots = written(components(links), "roots")
-        if one_in == 1:
-            m = named.drop("root")
-            if not cut:
-                break
-    return roots
+        if not first:
+            m = named.select("key", "id", "size").join(pairs.where("cut IS NOT NULL").select(F.col("cut").alias("key")).distinct(), "key", "left_semi")
+    return members.sparkSession.createDataFrame([], f"id {kind}, root {kind}") if roots is None else roots
+
+
+# --- joins ----------------------------------------------------------------------------------
+
+BITS = 1 << 24
+
+
+def thinned(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``df`` without most of the rows whose ``column`` is not in ids (one column); none that is in ids is lost.
+
+    A bitmap of at most BITS bits (262,144 rows of 12 bytes, at any size of the data) goes to all tasks, so that
+    a join with ids after it moves few other rows. Where ids fill the bitmap, the join alone does the work.
+    """
+
+    def place(c: str) -> str:
+        return f"pmod(xxhash64({c}), {BITS}L)"
+
+    bits = ids.toDF("id").selectExpr(f"{place('id')} AS h").groupBy(F.expr("cast(h div 64 AS int)").alias("thin_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 AS int))")).alias("thin_bits"))
+    on = F.expr(f"cast({place(f'`{column}`')} div 64 AS int)")
+    kept = df.join(F.broadcast(bits), on == F.col("thin_word")).where(F.expr(f"shiftright(thin_bits, cast({place(f'`{column}`')} % 64 AS int)) & 1L = 1L"))
+    return kept.drop("thin_word", "thin_bits")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or with underscores until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, linked_groups, mix64, slices, span_hashes, table, text_buffer, word_spans, written
+from .common import LOWER, linked_groups, mix64, slices, span_hashes, table, text_buffer, thinned, word_spans, written
 
 BANDS, ROWS, BASE_B, RATE, DOUBT, SLICE = 32, 6, 1.001, 20.0, 10.0, 3_000_000
 REGISTERS = BANDS * ROWS
@@ -83,22 +83,37 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
+GRID = np.linspace(0, 1, 33)
+
+
+def log_likelihood(up: np.ndarray, down: np.ndarray, same: np.ndarray, u: np.ndarray, v: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Of a similarity ``share``, given how many registers are greater, less and equal and the sets' shares u + v = 1 of their sizes."""
+
+    def log_b(x):
+        return np.clip(-np.log(np.maximum(1 - x * (BASE_B - 1) / BASE_B, 1e-12)) / np.log(BASE_B), 1e-9, 1)
+
+    more, less = log_b(np.maximum(u - v * share, 0)), log_b(np.maximum(v - u * share, 0))
+    return up * np.log(more) + down * np.log(less) + same * np.log(np.maximum(1 - more - less, 1e-9))
+
+
 def plausible(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether a similarity of at least threshold is plausible: sizes allow it and its likelihood is near the best."""
+    """Whether a similarity of at least threshold is plausible: sizes allow it and its likelihood is near the best.
+
+    The log-likelihood is concave in the similarity: where it still rises at the threshold, its best lies beyond.
+    """
     u, v = na / (na + nb), nb / (na + nb)
     top = np.minimum(u / v, v / u)
     up, down = (ra > rb).sum(axis=1), (ra < rb).sum(axis=1)
     same = ra.shape[1] - up - down
-    share = np.linspace(0, 1, 101)[None, :] * top[:, None]
-
-    def log_b(x):
-        return np.clip(-np.log(np.maximum(1 - x * (BASE_B - 1) / BASE_B, 1e-12)) / np.log(BASE_B), 1e-9, 1)
-
-    more, less = log_b(np.maximum(u[:, None] - v[:, None] * share, 0)), log_b(np.maximum(v[:, None] - u[:, None] * share, 0))
-    ll = up[:, None] * np.log(more) + down[:, None] * np.log(less) + same[:, None] * np.log(np.maximum(1 - more - less, 1e-9))
-    good = np.where(share >= threshold - 1e-9, ll, -np.inf).max(axis=1)
-    good = np.maximum(good, np.where(top >= threshold - 1e-9, ll[:, -1], -np.inf))
-    return (top >= threshold - 1e-9) & (ll.max(axis=1) - good <= DOUBT)
+    ok = top >= threshold - 1e-9
+    at = np.minimum(threshold, top)
+    there = log_likelihood(up, down, same, u, v, at)
+    falls = np.flatnonzero(ok & (log_likelihood(up, down, same, u, v, at - 1e-4) > there))
+    if len(falls):
+        x = [c[falls, None] for c in (up, down, same, u, v)]
+        best = log_likelihood(*x, GRID[None, :] * at[falls, None]).max(axis=1)
+        ok[falls] = best - there[falls] <= DOUBT
+    return ok
 
 
 def sketched(docs: DataFrame, n_words: int = 5) -> DataFrame:
@@ -142,10 +157,10 @@ def near_documents(docs: DataFrame, per_cent: int = 80, n_words: int = 5) -> Dat
         ok[ok] = plausible(ra[ok], rb[ok], na[ok], nb[ok], per_cent / 100)
         return same.astype(np.float64), ok
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        known = classes.select("id", "digest").join(ids, "id", "left_semi")
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, words): the whole sets of the classes headed by ids; one a class where a repeated id heads several."""
+        heads = classes.select("id", "digest").join(ids, "id", "left_semi")
+        texts = thinned(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids).join(ids, "id", "left_semi")
 
         def run(batches):
             for batch in batches:
@@ -153,7 +168,10 @@ def near_documents(docs: DataFrame, per_cent: int = 80, n_words: int = 5) -> Dat
                     sets = shingles(*text_buffer(part.column("text")), n_words)
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "digest", "words"])
 
-        full = written(texts.mapInArrow(run, "id long, digest binary, words binary").join(known, ["id", "digest"]).dropDuplicates(["id", "digest"]), "sets")
+        return written(texts.mapInArrow(run, "id long, digest binary, words binary").join(heads, ["id", "digest"]).dropDuplicates(["id", "digest"]), "sets")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        full = sets_of(written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "verified-ids"))
         side = {c: full.select(F.col("id").alias(c), *[F.col("words").alias(f"words_{c}")]) for c in ("a", "b")}
 
         def confirm(batches):
@@ -167,7 +185,23 @@ def near_documents(docs: DataFrame, per_cent: int = 80, n_words: int = 5) -> Dat
 
         return pairs.join(side["b"], "b").join(side["a"], "a").mapInPandas(confirm, "a long, b long").distinct()
 
-    roots = linked_groups(members, sketch, likeness, verify)
+    def linker(values):
+        """Which sets of a list link with one of them: a count of its elements in all of them."""
+        size = np.array([len(v) // 8 for v in values], dtype=np.int64)
+        number = np.unique(np.frombuffer(b"".join(values), np.uint64), return_inverse=True)[1]
+        start = np.cumsum(size) - size
+        seen = np.zeros(int(number.max()) + 1, dtype=np.int32)
+
+        def link(r: int, others: np.ndarray) -> np.ndarray:
+            own = number[start[r] : start[r] + size[r]]
+            seen[own] = 1
+            both = np.add.reduceat(seen[number], start)[others]
+            seen[own] = 0
+            return 100 * both >= per_cent * (size[r] + size[others] - both)
+
+        return link
+
+    roots = linked_groups(members, sketch, likeness, verify, ((8, 1), (1, 2)), whole=lambda ids: sets_of(ids).withColumnRenamed("words", "sketch"), linker=linker)
     named = classes.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
     known = F.col("n_shingles") > 0
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
