@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 WEIGHTS, SHARE, MOST, LEAN, RANGES = (5, 2, 1), 1.5, 2.0, 0.5, 4096
 
@@ -93,10 +93,15 @@ def placed(d: DataFrame) -> DataFrame:
     return d.withColumn("position", position(words, F.col("target"), F.col("slope")))
 
 
-def mixed(docs: DataFrame, parts: int = 64, **how) -> DataFrame:
-    """The training stream: every taken copy, range-sorted by position (then id and copy)."""
-    p = placed(mix(docs, n_words(F.col("text")), **how))
-    return p.repartitionByRange(parts, "position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The training stream: docs' columns, whatever their names, a row every taken copy, range-sorted by position (then id and copy).
+
+    The session's number of shuffle partitions is that of the ranges.
+    """
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    p = placed(mix(rows, F.col("size"), **how))
+    p = p.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+    return p.select("row.*", F.col("position").alias(unused("position", docs.columns)), F.col("copy").alias(unused("copy", docs.columns)))
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
