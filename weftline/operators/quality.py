@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chat import fingerprint, sample_score
@@ -22,13 +22,15 @@ def conversations(turns: DataFrame) -> DataFrame:
 def quality_pass(samples: DataFrame, threshold: float = 0.5, min_question: int = 5, min_answer: int = 10) -> DataFrame:
     """samples (id, messages) plus score, fp, is_dup, approved; every later sample of a fingerprint scores 0.
 
-    The dedup window partitions by fingerprint; only ids and hashes cross the shuffle with the payload.
+    First ids are aggregated by fingerprint before any shuffle, and only those of repeated fingerprints are joined back: a fingerprint of many
+    samples is one row there, and a join that Spark can split.
     """
     scored = samples.withColumns({"raw": sample_score(F.col("messages"), min_question, min_answer), "fp": fingerprint(F.col("messages"))})
-    first = F.min("id").over(Window.partitionBy("fp"))
-    dup = F.col("id") != first
-    out = scored.withColumn("is_dup", dup).withColumn("score", F.round(F.when(F.col("is_dup"), 0.0).otherwise(F.col("raw")), 6))
-    return out.withColumn("approved", F.col("score") >= threshold).drop("raw")
+    first = scored.groupBy(F.col("fp").alias("_fp")).agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    out = scored.join(first, F.col("fp").eqNullSafe(F.col("_fp")), "left")
+    out = out.withColumn("is_dup", F.coalesce(F.col("id") != F.col("_first"), F.lit(False)))
+    out = out.withColumn("score", F.round(F.when(F.col("is_dup"), 0.0).otherwise(F.col("raw")), 6))
+    return out.withColumn("approved", F.col("score") >= threshold).drop("raw", "_fp", "_first")
 
 
 def bucket(score: Column) -> Column:
