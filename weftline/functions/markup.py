@@ -19,6 +19,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table body html main article section".split())
+# What an id or a class of a main element holds.
 MAIN_ID, MAIN_CLASS = re.compile(r"content|main|article|post", re.I), re.compile(r"content|main|article|post|entry", re.I)
 SCHEMA = "title string, author string, published_date string, text string, markdown string, word_count int, links array<string>"
 
