@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +88,8 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch | pa.Table, column: str, most_bytes: int = 4_000_000):
     """Cut a batch into runs of whole rows of about ``most_bytes`` of text; one longer row stands alone."""
-    _, offsets = text_buffer(batch.column(column))
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + most_bytes, side="right")) - 1
