@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-TRAIN_DOCS, SWITCH, ALPHA, SHARE, KEPT_WORDS, SLICE, UNKNOWN = 3000, 12.0, 0.05, 0.001, 250_000, 6_000_000, "und"
+TRAIN_DOCS, SWITCH, ALPHA, SHARE, KEPT_WORDS, SLICE, UNKNOWN = 3000, 12.0, 0.05, 0.001, 100_000, 3_000_000, "und"
 OUT_OF_REACH = -1e6
 
 # Ranges of code points, from the Unicode blocks.
