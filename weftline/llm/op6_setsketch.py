@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, linked_groups, mix64, slices, span_hashes, table, text_buffer, thinned, word_spans, written
 
-BANDS, ROWS, BASE_B, RATE, DOUBT, SLICE = 32, 6, 1.001, 20.0, 10.0, 3_000_000
+BANDS, ROWS, BASE_B, RATE, DOUBT, SLICE = 32, 6, 1.001, 20.0, 10.0, 1_000_000
 REGISTERS = BANDS * ROWS
 C = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
 
