@@ -16,6 +16,7 @@ MODULES = {
     "op8_bpe": "op8_bpe",
     "op9_mix": "op9_mix",
     "op10_line_dedup": "op10_lines",
+    "op12_filter_audit": "op12_audit",
 }
 
 
