@@ -83,10 +83,10 @@ def orders(cells: DataFrame, names: str) -> DataFrame:
     """(part, filter_order, step, kept, ...): cells has arrays n, good, toxic, indexed by mask."""
     k = len(names)
     every = F.array(*[F.lit("".join(p)) for p in permutations(names)])
-    steps = cells.withColumn("filter_order", F.explode(every)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    bit = f"shiftleft(1, instr('{names}', substr(filter_order, step, 1)) - 1)"
-    before = f"aggregate(sequence(1, step), 0, (b, j) -> IF(j < step, b | shiftleft(1, instr('{names}', substr(filter_order, j, 1)) - 1), b))"
-    steps = steps.withColumns({"own": F.expr(bit), "before": F.expr(before)})
+    bit = f"shiftleft(1, instr('{names}', substr(filter_order, i, 1)) - 1)"
+    # own and before are made in front of the explode, so that the sums over cells read them as columns
+    prefix = f"transform(sequence(1, {k}), step -> aggregate(sequence(1, step), struct(step, 0 AS own, 0 AS before), (b, i) -> struct(b.step, {bit} AS own, b.own | b.before AS before)))"
+    steps = cells.withColumn("filter_order", F.explode(every)).selectExpr("*", f"inline({prefix})")
 
     def total(which: str, array: str = "n", weight: str = "1") -> Column:
         return F.expr(f"aggregate(sequence(0, {(1 << k) - 1}), 0L, (t, m) -> IF({which}, t + {array}[m] * {weight}, t))")
