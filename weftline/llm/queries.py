@@ -16,7 +16,9 @@ MODULES = {
     "op8_bpe": "op8_bpe",
     "op9_mix": "op9_mix",
     "op10_line_dedup": "op10_lines",
+    "op11_license_scan": "op11_license",
     "op12_filter_audit": "op12_audit",
+    "op13_chat_repair": "op13_repair",
 }
 
 
