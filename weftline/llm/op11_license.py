@@ -151,12 +151,13 @@ class Index:
             )
 
     def posting_rows(self, spark: SparkSession) -> DataFrame:
-        rows = [F.struct(F.lit(w).alias("word"), F.lit(t).alias("template"), F.lit(p).alias("at"), F.lit(b).cast("long").alias("bit")) for w, t, p, b in self.postings]
-        return spark.range(1).select(F.inline(F.array(*rows)))
+        rows = ", ".join(f"struct('{w}' AS word, {t} AS template, {p} AS at, {b}L AS bit)" for w, t, p, b in self.postings)
+        return spark.range(1).selectExpr(f"inline(array({rows}))")
 
     def template_rows(self, spark: SparkSession) -> DataFrame:
-        rows = [F.struct(F.lit(t["template"]).alias("template"), F.lit(t["label"]).alias("label"), F.lit(t["base"]).alias("base"), F.lit(t["must"]).cast("long").alias("must"), F.lit(t["weights"]).alias("weights")) for t in self.templates]
-        return spark.range(1).select(F.inline(F.array(*rows)))
+        weights = lambda t: ", ".join(f"{x!r}D" for x in t["weights"])
+        rows = ", ".join(f"struct({t['template']} AS template, '{t['label']}' AS label, {t['base']} AS base, {t['must']}L AS must, array({weights(t)}) AS weights)" for t in self.templates)
+        return spark.range(1).selectExpr(f"inline(array({rows}))")
 
     def candidates(self, present: Column) -> Column:
         """The numbers of the templates that a document's licence words, highest IDF first, point to, as bits."""
@@ -181,7 +182,8 @@ def starts(docs: DataFrame, index: Index) -> DataFrame:
     places = F.expr("flatten(transform(array(struct(words, filed)), d -> filter(transform(d.words, (w, i) -> struct(w AS word, i AS place)), x -> array_contains(d.filed, x.word))))")
     marker = F.expr("array(struct(cast(null AS string) AS word, cast(null AS int) AS place))")
     d = d.withColumn("places", F.when(F.col("candidates") != 0, F.concat(marker, places)).otherwise(marker))
-    d = d.select("doc_id", "digest", F.size("words").cast("long").alias("n_words"), "candidates", F.inline("places"))
+    # inline would put a filter on the size of places in front, which makes them twice
+    d = d.select("doc_id", "digest", F.size("words").cast("long").alias("n_words"), "candidates", F.inline_outer("places"))
     wanted = F.col("candidates").bitwiseAND(F.expr("shiftleft(1L, template)")) != 0
     hit = d.join(F.broadcast(index.posting_rows(spark)), "word", "left").where(F.col("word").isNull() | wanted)
     return hit.groupBy("doc_id", "digest", "n_words", "template", (F.col("place") - F.col("at")).cast("long").alias("start")).agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
