@@ -26,7 +26,7 @@ PATH_SAFE = r"[A-Za-z0-9_.~/:@!$&'()*+,;=%-]"
 WORD_SAFE = r"[A-Za-z0-9_.~-]"
 
 
-def _percent(text: Column, safe: str, space: str | None = None) -> Column:
+def percent_encoded(text: Column, safe: str, space: str | None = None) -> Column:
     """Percent-encode the UTF-8 bytes of each character outside ``safe``."""
     coded = F.transform(
         F.split(text, ""),
@@ -44,7 +44,7 @@ def clean_query(query: Column) -> Column:
     parts = F.filter(F.split(query, "&"), lambda p: p != "")
     pairs = F.transform(parts, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.when(F.contains(p, F.lit("=")), F.substr(p, F.instr(p, "=") + 1)).otherwise("")).alias("v")))
     kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(TRACKING))
-    return F.array_join(F.transform(kept, lambda p: F.concat(_percent(p["k"], WORD_SAFE, "+"), F.lit("="), _percent(p["v"], WORD_SAFE, "+"))), "&")
+    return F.array_join(F.transform(kept, lambda p: F.concat(percent_encoded(p["k"], WORD_SAFE, "+"), F.lit("="), percent_encoded(p["v"], WORD_SAFE, "+"))), "&")
 
 
 def with_scheme(url: Column) -> Column:
@@ -78,7 +78,7 @@ def sanitise(url: Column) -> Column:
         F.lower(F.regexp_extract(u, r"^(https?)://", 1)),
         F.lit("://"),
         F.lower(host),
-        _percent(plain, PATH_SAFE),
+        percent_encoded(plain, PATH_SAFE),
         F.when(params != "", F.concat(F.lit(";"), params)).otherwise(""),
         F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""),
     )

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from urllib.robotparser import RobotFileParser
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.markup import extract
-from ..functions.urls import bare_host, is_http_url, is_page_url, matches, on_domain, sanitise
+from ..functions.urls import bare_host, is_http_url, is_page_url, matches, sanitise
 from ..operators.relational import first_nonempty, keep_first
 from ..storage import written
+from .robots import allowed as allowed
 
 # Where a site's sitemap is looked for, in order.
 SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap/sitemap.xml"]
@@ -42,23 +41,6 @@ def locate_sitemap(robots: DataFrame, fetched: DataFrame) -> DataFrame:
     return first_nonempty([said, hits.groupBy("host").agg(F.min_by("url", "pos").alias("sitemap"))], "host").drop("prio")
 
 
-def allowed(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
-    """urls (host, url) plus allowed; a host whose robots body is null or missing denies everything."""
-
-    @F.pandas_udf("boolean")
-    def can(body: pd.Series, url: pd.Series) -> pd.Series:
-        out, known = [], {}
-        for b, u in zip(body, url, strict=True):
-            if b not in known:
-                known[b] = RobotFileParser()
-                if b is not None:
-                    known[b].parse(b.splitlines())
-            out.append(b is not None and known[b].can_fetch(agent, u))
-        return pd.Series(out, dtype=bool)
-
-    return urls.join(robots.select("host", "body"), "host", "left").withColumn("allowed", can("body", "url")).drop("body")
-
-
 def is_sitemap_index(xml: Column) -> Column:
     return xml.rlike(r"<(?:\w+:)?sitemapindex[\s>]")
 
@@ -128,32 +110,45 @@ def is_app_candidate(html: Column, url: Column) -> Column:
     return (F.size(own) < 3) & (F.length(found["text"]) > 500)
 
 
-def crawl(pages: DataFrame, links: DataFrame, seed: str, max_pages: int = 50, max_depth: int = 3, pattern: str | None = None) -> DataFrame:
-    """(url, depth, visit): breadth-first visits from a seed over links (src, pos, dst), only pages with status 200 and html.
+def crawl_many(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_pages: int = 50, max_depth: int = 3, pattern: str | None = None) -> DataFrame:
+    """(seed, url, depth, visit): a breadth-first crawl from every seed at once, each on its own domain and up to its own max_pages.
 
-    A level is one join of the frontier with the links; a URL is visited at its first place in queue order
-    (level, place of its source in the level, place of the link). Links are sanitised first; those that are no web address go.
+    pages: (url, status, content_type); only those with status 200 and html are visited. links: (src, pos, dst), sanitised first; those that
+    are no web address go. seeds: (seed). A URL is visited by a seed at its first place in the seed's queue (level, place of its source in
+    the level, place of the link). A level of all seeds is one join of their frontiers with the links, keyed by (seed, url).
+    Places in a level come from a range sort, so a seed with a wide frontier is spread; a seed's visits of a level are cut
+    at what max_pages leaves it before their links are followed, and a seed that has all its pages follows none.
     """
-    spark = pages.sparkSession
-    seed_domain = seed.split("//", 1)[-1].split("/", 1)[0]
     good = pages.where((F.col("status") == 200) & F.contains(F.coalesce("content_type", F.lit("")), F.lit("html"))).select("url").distinct()
     links = links.withColumn("dst", sanitise(F.col("dst"))).where("dst IS NOT NULL")
-    edges = links.where(on_domain(F.col("dst"), seed_domain) & matches(F.col("dst"), pattern) & is_page_url(F.col("dst"))).select("src", "pos", "dst")
-    frontier = spark.createDataFrame([(seed, 0, 1)], "url string, depth int, rank int")
-    queued, visited = frontier.select("url"), None
+    edges = links.where(matches(F.col("dst"), pattern) & is_page_url(F.col("dst"))).select("src", "pos", "dst", bare_host(F.col("dst")).alias("dst_host"))
+    edges = written(edges, "crawl-links")
+    frontier = seeds.select("seed", F.col("seed").alias("url"), F.lit(0).cast("long").alias("rank")).where("seed IS NOT NULL").distinct()
+    queued, visited = frontier.select("seed", "url"), None
+    by_place = Window.partitionBy("seed").orderBy("rank")
     for depth in range(max_depth + 1):
-        hit = written(frontier.join(good, "url", "left_semi"), "visits")
+        # the limit is on the number of a window, so that each task keeps no more of a seed than its max_pages
+        hit = frontier.join(good, "url", "left_semi").withColumn("visit", F.row_number().over(by_place)).where(F.col("visit") <= max_pages)
+        if visited is not None:
+            found = visited.groupBy("seed").agg(F.max("visit").alias("found"))
+            hit = hit.join(found, "seed").withColumn("visit", F.col("visit") + F.col("found")).where(F.col("visit") <= max_pages).drop("found")
+        hit = written(hit.select("seed", "url", F.lit(depth).alias("depth"), "rank", "visit"), "visits")
         visited = hit if visited is None else visited.unionByName(hit)
-        if depth == max_depth or visited.count() >= max_pages or hit.isEmpty():
+        if depth == max_depth or hit.isEmpty():
             break
-        nxt = hit.join(edges, F.col("url") == F.col("src")).select(F.col("dst").alias("url"), "rank", "pos")
-        nxt = keep_first(nxt, ["url"], ["rank", "pos"]).join(queued, "url", "left_anti")
-        # a level's frontier never needs more than max_pages URLs beyond those that fail, so it is ranked on one node's sort
-        w = Window.orderBy("rank", "pos", "url")
-        frontier = written(nxt.withColumn("r", F.row_number().over(w)).select("url", F.lit(depth + 1).alias("depth"), F.col("r").alias("rank")), "frontier")
-        queued = queued.unionByName(frontier.select("url"))
-    w = Window.orderBy("depth", "rank")
-    return visited.withColumn("visit", F.row_number().over(w)).where(F.col("visit") <= max_pages).select("url", "depth", "visit")
+        open_ = visited.groupBy("seed").agg(F.max("visit").alias("found")).where(F.col("found") < max_pages)
+        nxt = hit.join(open_, "seed", "left_semi").join(edges, F.col("url") == F.col("src")).where(F.col("dst_host") == bare_host(F.col("seed")))
+        nxt = nxt.groupBy("seed", F.col("dst").alias("url")).agg(F.min(F.struct("rank", "pos")).alias("place"))
+        nxt = nxt.join(queued, ["seed", "url"], "left_anti").repartitionByRange("seed", "place", "url").sortWithinPartitions("seed", "place", "url")
+        frontier = written(nxt.select("seed", "url", F.monotonically_increasing_id().alias("rank")), "frontier")
+        queued = queued.unionByName(frontier.select("seed", "url"))
+    return visited.select("seed", "url", "depth", "visit")
+
+
+def crawl(pages: DataFrame, links: DataFrame, seed: str, max_pages: int = 50, max_depth: int = 3, pattern: str | None = None) -> DataFrame:
+    """(url, depth, visit): the crawl of one seed."""
+    seeds = pages.sparkSession.createDataFrame([(seed,)], "seed string")
+    return crawl_many(pages, links, seeds, max_pages, max_depth, pattern).select("url", "depth", "visit")
 
 
 def dispatch(seeds: DataFrame, sitemap: DataFrame, crawled: DataFrame) -> DataFrame:
