@@ -74,9 +74,31 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     return placed.join(before, "_p").withColumn(name, F.col("_before") + F.col("_i") + 1).drop("_p", "_i", "_n", "_before")
 
 
+def sum_before(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """df with the sum of ``value`` over all rows in front of each in a total order, 0 in front of the first.
+
+    In two levels, as ``ranked``: sums inside the partitions of a range sort, and of the partitions before.
+    """
+    from ..storage import written
+
+    kind = df.schema[value].dataType
+    cols = [f"_o{i}" for i in range(len(order))]
+    placed = df.withColumns(dict(zip(cols, order, strict=True))).repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_m", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("_p", F.shiftright("_m", 33)).drop(*cols), "summed")
+    ahead = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("_p").agg(F.sum(value).alias(value)).withColumn("_start", ahead(Window.orderBy("_p"))).drop(value)
+    inside = placed.withColumn("_inside", ahead(Window.partitionBy("_p").orderBy("_m")))
+    return inside.join(starts, "_p").withColumn(name, (F.col("_start") + F.col("_inside")).cast(kind)).drop("_m", "_p", "_start", "_inside")
+
+
 def exact_split(df: DataFrame, key: str, ratio: float = 0.1, seed: int = 42, min_rows: int = 10) -> DataFrame:
-    """df plus split: the ceil(ratio * n) rows smallest by a seeded hash are validation, none up to min_rows rows."""
+    """df plus split: the ceil(ratio * n) rows smallest by a seeded hash are validation, none up to min_rows rows.
+
+    The hash of the last of them is found by counts; the table is neither sorted nor written.
+    """
+    from .selecting import smallest
+
     n = df.count()
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
     take = -(-n * int(round(ratio * 1_000_000)) // 1_000_000) if n > min_rows and ratio > 0 else 0
-    return ranked(df, [order, F.col(key)], "_rank").withColumn("split", F.when(F.col("_rank") <= take, "validation").otherwise("train")).drop("_rank")
+    return smallest(df, take, order, [F.col(key)], "_in").withColumn("split", F.when(F.col("_in"), "validation").otherwise("train")).drop("_in")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.generated import REVIEW_PROMPT, clamp_score, normalised_score, parse_scores, review_example
 from ..storage import written
-from .relational import histogram, ranked
+from .relational import histogram, ranked, sum_before
 
 
 def batches(samples: DataFrame, size: int = 5, limit: int | None = None) -> DataFrame:
@@ -26,8 +26,7 @@ def batch_prompts(samples: DataFrame) -> DataFrame:
 
 def affordable(costs: DataFrame, cap: float) -> DataFrame:
     """Batches (batch, cost) that start while the cost so far is below the cap."""
-    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
-    return costs.withColumn("spent", F.coalesce(F.sum("cost").over(w), F.lit(0).cast(costs.schema["cost"].dataType))).where(F.col("spent") < cap)
+    return sum_before(costs, [F.col("batch")], "cost", "spent").where(F.col("spent") < cap)
 
 
 def apply_scores(samples: DataFrame, responses: DataFrame, min_score: int = 3) -> DataFrame:
@@ -38,32 +37,47 @@ def apply_scores(samples: DataFrame, responses: DataFrame, min_score: int = 3) -
     return out.withColumns({"quality_score": normalised_score(F.col("score")), "approved": F.col("score") >= min_score})
 
 
-def review(samples: DataFrame, rater, cap: float = 1.0, min_score: int = 3, size: int = 5, limit: int | None = None) -> DataFrame:
-    """samples (id, messages, ...) plus reviewed, score, quality_score, approved and cost (of the sample's batch).
+def ask_in_waves(prompts: DataFrame, rater, cap: float, wave: int) -> DataFrame:
+    """(batch, raw, cost) of the batches that start while what the batches before them cost is below the cap, as if asked one by one.
 
-    rater: (system, user) in, (raw scores, dollars) out. A batch is asked while what the batches before it cost is below the cap; a
-    rater that fails gives the default score. Samples beyond the cap or the limit keep the scores they had.
+    prompts: (batch, prompt), batches numbered from 0. ``wave`` batches are asked at once, each in a task of its own; their costs, a number a batch
+    of the wave, are then added in order. What was asked beyond the batch that reached the cap is dropped: fewer than ``wave`` calls are spent
+    in vain. A rater that fails in any way leaves its batch an empty answer without a cost.
     """
-    taken = written(batches(samples.select("id", "messages"), size, limit), "review-batches")
 
     def ask(frames):
         for pdf in frames:
-            said, cost, spent = [], [], 0.0
+            said = []
             for prompt in pdf["prompt"]:
-                raw, price = None, None
-                if spent < cap:
-                    try:
-                        raw, price = rater(REVIEW_PROMPT, prompt)
-                    except Exception:  # noqa: BLE001  a rater may fail in any way; its batch gets the default score
-                        raw, price = "", 0.0
-                    spent += price
-                said.append(raw)
-                cost.append(price)
-            yield pdf.assign(raw=said, cost=cost)[["batch", "raw", "cost"]]
-
-    # the cap orders the calls: they follow one another, as many as it pays for
-    asked = batch_prompts(taken).repartition(1).sortWithinPartitions("batch").select("batch", "prompt").mapInPandas(ask, "batch long, raw string, cost double")
-    asked = written(asked.where("raw IS NOT NULL"), "reviews")
+                try:
+                    said.append(rater(REVIEW_PROMPT, prompt))
+                except Exception:  # noqa: BLE001  a rater may fail in any way; its batch gets the default score
+                    said.append(("", 0.0))
+            yield pdf.assign(raw=[raw for raw, _ in said], cost=[float(cost) for _, cost in said])[["batch", "raw", "cost"]]
+
+    schema = "batch long, raw string, cost double"
+    asked, spent, first, n = prompts.sparkSession.createDataFrame([], schema), 0.0, 0, prompts.count()
+    while first < n and spent < cap:
+        part = prompts.where(F.col("batch").between(first, first + wave - 1)).repartition(min(wave, n - first))
+        part = written(part.mapInPandas(ask, schema), "reviews")
+        end = first
+        for row in sorted(part.select("batch", "cost").collect()):
+            if spent >= cap:
+                break
+            spent, end = spent + row.cost, row.batch + 1
+        asked = asked.unionByName(part.where(F.col("batch") < end))
+        first += wave
+    return asked
+
+
+def review(samples: DataFrame, rater, cap: float = 1.0, min_score: int = 3, size: int = 5, limit: int | None = None, wave: int = 64) -> DataFrame:
+    """samples (id, messages, ...) plus reviewed, score, quality_score, approved and cost (of the sample's batch).
+
+    rater: (system, user) in, (raw scores, dollars) out. A batch is asked while what the batches before it cost is below the cap
+    (``ask_in_waves``); a rater that fails gives the default score. Samples beyond the cap or the limit keep the scores they had.
+    """
+    taken = written(batches(samples.select("id", "messages"), size, limit), "review-batches")
+    asked = ask_in_waves(written(batch_prompts(taken).select("batch", "prompt"), "prompts"), rater, cap, wave)
     scored = apply_scores(taken.join(asked.select("batch"), "batch", "left_semi").select("id", "batch", "pos"), asked.select("batch", "raw"), min_score)
     scored = scored.join(asked.select("batch", "cost"), "batch").select("id", "score", "quality_score", "approved", "cost")
     out = samples.drop(*[c for c in ("score", "cost") if c in samples.columns])

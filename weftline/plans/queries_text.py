@@ -268,12 +268,6 @@ def q54(spark, sf):
     return review.apply_scores(s, r).select("batch", "pos", "score", "quality_score", "approved")
 
 
-@query("q58_chunk_overlap")
-def q58(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.posexplode(chunks.chunks_fast(F.col("text"), 512, 64, r"\n")).alias("chunk_index", "content")).select("doc_id", "chunk_index", text.token_count(F.col("content")).alias("tokens"))
-
-
 @query("q56_nfkc")
 def q56(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.clean(F.col("text")).cast("binary")).alias("cleaned_md5"))
