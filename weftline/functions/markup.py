@@ -126,40 +126,50 @@ def normalise(text: str) -> str:
     return re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", text)).strip()
 
 
+def _rendered(c: Element, plain: str, inner: str, number: int) -> str:
+    """An element around what is inside it; number: its place among the items of its list."""
+    tag = c.tag
+    if re.fullmatch(r"h[1-6]", tag):
+        return f"\n\n{'#' * int(tag[1])} {plain}\n\n"
+    if tag in ("strong", "b"):
+        return f"**{plain}**" if plain else ""
+    if tag in ("em", "i"):
+        return f"*{plain}*" if plain else ""
+    if tag == "code":
+        return f"`{plain}`"
+    if tag == "pre":
+        return f"\n\n```\n{plain}\n```\n\n"
+    if tag == "br":
+        return "  \n"
+    if tag == "hr":
+        return "\n\n---\n\n"
+    if tag == "li":
+        return f"{f'{number}.' if c.parent.tag == 'ol' else '*'} {plain}\n"
+    if tag == "blockquote":
+        return "\n\n" + "\n".join(f"> {x}" for x in plain.split("\n")) + "\n\n"
+    if tag in ENDS_P or tag in ("tr", "dt", "dd"):
+        return f"\n\n{plain}\n\n" if plain else ""
+    return "" if tag == "img" else inner
+
+
 def markdown(e: Element) -> str:
-    """Headings, lists, emphasis, code and quotes; links and images keep only their text."""
-    out = []
-    for c in e.children:
+    """Headings, lists, emphasis, code and quotes; links and images keep only their text. However deep elements stand."""
+    # [element, children to come, pieces, items so far] of each open element
+    open_ = [[e, iter(e.children), [], 0]]
+    while True:
+        here, rest, pieces, _ = open_[-1]
+        c = next(rest, None)
         if isinstance(c, str):
-            out.append(re.sub(r"\s+", " ", c))
-            continue
-        inner, tag = markdown(c), c.tag
-        plain = inner.strip()
-        if re.fullmatch(r"h[1-6]", tag):
-            out.append(f"\n\n{'#' * int(tag[1])} {plain}\n\n")
-        elif tag in ("strong", "b"):
-            out.append(f"**{plain}**" if plain else "")
-        elif tag in ("em", "i"):
-            out.append(f"*{plain}*" if plain else "")
-        elif tag == "code":
-            out.append(f"`{plain}`")
-        elif tag == "pre":
-            out.append(f"\n\n```\n{plain}\n```\n\n")
-        elif tag == "br":
-            out.append("  \n")
-        elif tag == "hr":
-            out.append("\n\n---\n\n")
-        elif tag == "li":
-            kin = [x for x in c.parent.children if isinstance(x, Element) and x.tag == "li"]
-            mark = f"{kin.index(c) + 1}." if c.parent.tag == "ol" else "*"
-            out.append(f"{mark} {plain}\n")
-        elif tag == "blockquote":
-            out.append("\n\n" + "\n".join(f"> {x}" for x in plain.split("\n")) + "\n\n")
-        elif tag in ENDS_P or tag in ("tr", "dt", "dd"):
-            out.append(f"\n\n{plain}\n\n" if plain else "")
-        elif tag != "img":
-            out.append(inner)
-    return "".join(out)
+            pieces.append(re.sub(r"\s+", " ", c))
+        elif c is not None:
+            open_.append([c, iter(c.children), [], 0])
+        else:
+            open_.pop()
+            inner = "".join(pieces)
+            if not open_:
+                return inner
+            open_[-1][3] += here.tag == "li"
+            open_[-1][2].append(_rendered(here, inner.strip(), inner, open_[-1][3]))
 
 
 def extract_page(html: str | None, url: str | None) -> dict:

@@ -5,15 +5,15 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, urls
 from ..operators import generate, quality, review, selection
 from ..sinks.local import json_rows
 from ..sources import discovery
 from ..storage import table
 from .catalog import query
+from .queries_urls import LARGEST, _address, _largest, _named, _placed, _site_graph, _site_links, _site_pages, _xml, crawl_sql
 
 
 def rising_rater(system: str, prompt: str) -> tuple[str, float]:
@@ -68,33 +68,35 @@ def q75(spark, sf):
     return json_rows(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.lit(None).cast("string").alias("none")))
 
 
-def _index(*children: str) -> str:
-    return "<sitemapindex>" + "".join(f"<sitemap><loc>https://a.com/{c}.xml</loc></sitemap>" for c in children) + "</sitemapindex>"
-
-
-def _urls(*pages: str) -> str:
-    return "<urlset>" + "".join(f"<url><loc>https://a.com/{p}</loc></url>" for p in pages) + "</urlset>"
-
-
-#: Two ways to a file, the first in a depth-first walk being the longer one.
-DIAMOND = [("a", _index("b", "d", "c")), ("b", _index("e")), ("e", _index("c", "a")), ("c", _urls("c1", "c2")), ("d", _index("f", "c")), ("f", _urls("f1"))]
-
-
-@query("q76_sitemap_order", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'https://a.com/c1'), (2, 'https://a.com/c2'), (3, 'https://a.com/f1')) x(place, url)")
+@query(
+    "q76_sitemap_order",
+    """WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS host FROM pages)
+SELECT row_number() OVER (ORDER BY host, page_id % 2, page_id) AS place, url FROM p""",
+)
 def q76(spark, sf):
-    fetched = spark.createDataFrame([(f"https://a.com/{n}.xml", 200, body) for n, body in DIAMOND], "url string, status int, body string")
-    rows = discovery.sitemap_closure(fetched, "https://a.com/a.xml")
-    return rows.select(F.row_number().over(Window.orderBy("ord")).cast("long").alias("place"), "url")
-
-
-RAW_LINKS = [("https://s.com/", 0, "https://S.com/a?utm_source=x#top"), ("https://s.com/", 1, "mailto:me@s.com"), ("https://s.com/", 2, "https://s.com/a"), ("https://s.com/a", 0, "https://s.com/b?ref=1&k=2")]
-
-
-@query("q77_crawl_sanitised", "SELECT * FROM (VALUES ('https://s.com/', 0, 1), ('https://s.com/a', 1, 2), ('https://s.com/b?k=2', 2, 3)) x(url, depth, visit)")
+    """Two ways to the file of a site's even pages, of which a depth-first walk takes the longer; files also list the root again."""
+    p = table(spark, sf, "pages").select("page_id", "url", urls.origin(F.col("url")).alias("host"))
+    root = "https://root.example.com/i.xml"
+    name = lambda n: F.concat("host", F.lit(f"/{n}.xml"))
+    lists = p.withColumn("file", F.when(F.col("page_id") % 2 == 0, name("even")).otherwise(name("odd")))
+    hosts = p.select("host").distinct()
+    own = hosts.select(name("top").alias("file"), F.posexplode(F.array(name("inner"), name("even"))).alias("o", "x"))
+    inner = hosts.select(name("inner").alias("file"), F.posexplode(F.array(name("even"), F.lit(root), name("odd"), name("gone"))).alias("o", "x"))
+    tops = hosts.select(F.lit(root).alias("file"), F.col("host").alias("o"), name("top").alias("x"))
+    files = _xml(lists, ["file"], F.col("page_id"), F.col("url"), "urlset", "url")
+    files = files.unionByName(_xml(own.unionByName(inner), ["file"], F.col("o"), F.col("x"), "sitemapindex", "sitemap")).unionByName(_xml(tops, ["file"], F.col("o"), F.col("x"), "sitemapindex", "sitemap"))
+    return _placed(discovery.sitemap_closure(files.select(F.col("file").alias("url"), F.lit(200).alias("status"), "body"), root))
+
+
+@query("q77_crawl_sanitised", crawl_sql(3, 50, LARGEST))
 def q77(spark, sf):
-    links = spark.createDataFrame(RAW_LINKS, "src string, pos int, dst string")
-    pages = spark.createDataFrame([(u, 200, "text/html") for u in ("https://s.com/", "https://s.com/a", "https://s.com/b?k=2")], "url string, status int, content_type string")
-    return discovery.crawl(pages, links, "https://s.com/")
+    """The same site through links in capitals, with tracking keys and fragments, beside addresses that are none."""
+    n = _site_graph(spark, sf)
+    host = urls.authority(F.col("origin"))
+    shouted = F.concat(F.lit(" "), F.regexp_extract("origin", "^(https?://)", 1), F.upper(host), F.lit("/"), F.col("to").cast("string"), F.lit("?utm_source=x&ref=1#top"))
+    links = _site_links(n).select("src", "pos", shouted.alias("dst"))
+    other = n.select(_address(F.col("k")).alias("src"), F.lit(0).alias("pos"), F.concat(F.lit("mailto:me@"), host).alias("dst"))
+    return _named(discovery.crawl(_site_pages(n), links.unionByName(other), f"{_largest(n)}/0"), n)
 
 
 def moody(system: str, user: str):

@@ -13,6 +13,7 @@ from ..sources import discovery
 from ..storage import table
 from .catalog import query
 from .queries_text import SENTENCES_SQL, TOKENS_SQL
+from .queries_urls import _address, _named, _site_graph, _site_links, _site_pages, crawl_sql
 
 WS = "concat(' ', chr(9), chr(10), chr(13))"
 
@@ -68,45 +69,14 @@ def q79(spark, sf):
     return discovery.allowed(p, robots).select("page_id", "allowed")
 
 
-def _crawl_sql(depth: int, most: int) -> str:
-    levels = []
-    for d in range(depth + 1):
-        if d == 0:
-            levels.append("f0 AS (SELECT origin, k, 1 AS rank FROM n WHERE k = 0)")
-        else:
-            known = " UNION ALL ".join(f"SELECT origin, k FROM f{x}" for x in range(d))
-            found = " UNION ALL ".join(f"SELECT origin, visit FROM h{x}" for x in range(d))
-            levels.append(f"""c{d} AS (SELECT origin, max(visit) AS found FROM ({found}) GROUP BY origin),
-f{d} AS (SELECT origin, k, row_number() OVER (PARTITION BY origin ORDER BY r, pos) AS rank FROM (
-  SELECT h.origin, e.dst AS k, min({{'r': h.rank, 'pos': e.pos}}) AS p FROM h{d - 1} h JOIN c{d} c ON c.origin = h.origin AND c.found < {most} JOIN e ON e.origin = h.origin AND e.src = h.k
-  GROUP BY h.origin, e.dst) x, LATERAL (SELECT x.p.r AS r, x.p.pos AS pos) WHERE (origin, k) NOT IN ({known}))""")
-        before = f"LEFT JOIN c{d} USING (origin)" if d else ""
-        levels.append(f"h{d} AS (SELECT * FROM (SELECT origin, k, page_id, rank, {'coalesce(found, 0) + ' if d else ''}row_number() OVER (PARTITION BY origin ORDER BY rank) AS visit FROM f{d} JOIN n USING (origin, k) {before} WHERE ok) WHERE visit <= {most})")
-    union = " UNION ALL ".join(f"SELECT origin, page_id, {d} AS depth, visit FROM h{d}" for d in range(depth + 1))
-    return f"""WITH o AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, page_id % 7 <> 3 AS ok FROM pages),
-n AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY page_id) - 1 AS k, count(*) OVER (PARTITION BY origin) AS c FROM o),
-e AS (SELECT origin, k AS src, pos, dst FROM (SELECT origin, k, c, unnest([0, 1, 2, 3]) AS pos, unnest([2 * k + 1, 2 * k + 2, k + 3, k * 5 % c]) AS dst FROM n) WHERE dst < c),
-{", ".join(levels)}
-SELECT origin AS site, page_id, CAST(depth AS INTEGER) AS depth, CAST(visit AS INTEGER) AS visit FROM ({union})"""
-
-
-@query("q80_crawl_seeds", _crawl_sql(3, 6))
+@query("q80_crawl_seeds", crawl_sql(3, 6))
 def q80(spark, sf):
     """Every site of the pages crawled at once from its first page, six pages at most; the pages of a site link to one another by their places."""
-    from pyspark.sql import Window
-
-    site = Window.partitionBy("origin")
-    n = table(spark, sf, "pages").select("page_id", urls.origin(F.col("url")).alias("origin"))
-    n = n.withColumns({"k": F.row_number().over(site.orderBy("page_id")) - 1, "c": F.count("*").over(site)})
-    url = F.concat("origin", F.lit("/"), F.col("k").cast("string"))
-    pages = n.select(url.alias("url"), F.when(F.col("page_id") % 7 == 3, 404).otherwise(200).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"))
-    k = F.col("k")
-    links = n.select("origin", url.alias("src"), "c", F.posexplode(F.array(2 * k + 1, 2 * k + 2, k + 3, (k * 5 % F.col("c")).cast("int"))).alias("pos", "to")).where("to < c")
-    links = links.select("src", "pos", F.concat("origin", F.lit("/"), F.col("to").cast("string"), F.lit("#part")).alias("dst"))
-    away = n.select(url.alias("src"), F.lit(9).alias("pos"), F.lit("https://elsewhere.example.com/0").alias("dst"))
-    seeds = n.where("k = 0").select(url.alias("seed"))
-    got = discovery.crawl_many(pages, links.unionByName(away), seeds, max_pages=6)
-    return got.join(n.select(url.alias("url"), "origin", "page_id"), "url").select(F.col("origin").alias("site"), "page_id", "depth", "visit")
+    n = _site_graph(spark, sf)
+    links = _site_links(n).select("src", "pos", F.concat(_address(F.col("to")), F.lit("#part")).alias("dst"))
+    away = n.select(_address(F.col("k")).alias("src"), F.lit(9).alias("pos"), F.lit("https://elsewhere.example.com/0").alias("dst"))
+    seeds = n.where("k = 0").select(_address(F.col("k")).alias("seed"))
+    return _named(discovery.crawl_many(_site_pages(n), links.unionByName(away), seeds, max_pages=6), n)
 
 
 def priced_rater(system: str, prompt: str) -> tuple[str, float]:

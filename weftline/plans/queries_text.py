@@ -209,34 +209,45 @@ def q46(spark, sf):
     return c.select(F.col("id").alias("conv_id"), F.substring(chat.first_of(F.col("messages"), "user"), 1, 300).alias("question"), F.substring(chat.first_of(F.col("messages"), "assistant"), 1, 400).alias("answer"))
 
 
-REFUSALS = ["I cannot do that, sorry, it is not possible for me", "i'm UNABLE to help", "such as an aid to walking is good for all of us here", "As an AI model I say no", "a fine answer with more than ten words in it, all good", ""]
-_refusal_values = ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(REFUSALS))
+_spoken = """CASE conv_id % 4 WHEN 0 THEN 'I cannot say. ' WHEN 1 THEN {unable} WHEN 2 THEN 'such as an aid ' ELSE '' END || coalesce(CASE WHEN turn % 2 = 0 THEN substring(text, 1, 24) ELSE text END, '')"""
 
 
-@query("q47_refusal_penalty", f"SELECT i AS id, round(least(1.0::DOUBLE, len(list_filter(string_split(t, ' '), lambda x: x <> '')) / 10::DOUBLE) * CASE WHEN regexp_matches(t, '(?i)(I cannot|I''m unable|As an AI)') THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM (VALUES {_refusal_values}) x(i, t)")
+@query(
+    "q47_refusal_penalty",
+    f"""WITH m AS (SELECT conv_id, turn, {_spoken.format(unable="'i''m UNABLE to help; '")} AS t FROM conversations)
+SELECT conv_id, turn, round(least(1.0::DOUBLE, len(regexp_extract_all(t, '[^ \\t\\n\\r\\f\\v]+')) / 10::DOUBLE) * CASE WHEN regexp_matches(t, '(?i)(I cannot|I''m unable|As an AI)') THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END, 6) AS score FROM m""",
+)
 def q47(spark, sf):
-    d = spark.createDataFrame(list(enumerate(REFUSALS)), "id int, t string")
-    return d.select("id", F.round(chat.message_score(F.struct(F.lit("assistant").alias("role"), F.col("t").alias("content"))), 6).alias("score"))
-
-
-RESPONSES = [
-    ('[{"question": "Q1", "answer": "A1"}, {"question": "Q2", "answer": "A2"}]', [("Q1", "A1"), ("Q2", "A2")]),
-    ('{"question": "only", "answer": "one"}', [("only", "one")]),
-    ('```json\n[{"question": "f", "answer": "g"}]\n```', [("f", "g")]),
-    ('```\n[{"question": "h", "answer": "i"}]\n```', [("h", "i")]),
-    ('Here you are: [{"question": "j", "answer": "k"}] done', [("j", "k")]),
-    ("garbage", []),
-    ("", []),
-]
-_parsed = ", ".join(f"({i}, {j}, '{q}', '{a}')" for i, (_, items) in enumerate(RESPONSES) for j, (q, a) in enumerate(items))
+    """Scores of answers, short and whole, of which three in four begin as refusals do."""
+    said = F.expr(_spoken.format(unable='"i\'m UNABLE to help; "'))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", said.alias("t"))
+    return c.select("conv_id", "turn", F.round(chat.message_score(F.struct(F.lit("assistant").alias("role"), F.col("t").alias("content"))), 6).alias("score"))
 
 
-@query("q48_parse_response", f"SELECT * FROM (VALUES {_parsed}) x(id, pos, question, answer)")
+@query(
+    "q48_parse_response",
+    """WITH d AS (SELECT doc_id, replace(substring(text, 1, 40), '`', '.') AS a FROM documents WHERE doc_id % 7 < 5)
+SELECT doc_id, CAST(0 AS INTEGER) AS pos, 'Q' || doc_id AS question, a AS answer FROM d UNION ALL SELECT doc_id, 1, 'R' || doc_id, '' FROM d WHERE doc_id % 7 = 0""",
+)
 def q48(spark, sf):
-    d = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(RESPONSES)], "id int, raw string")
-    d = d.select("id", F.posexplode(generated.parse_items(F.col("raw"))).alias("pos", "item"))
+    """Answers of a generator in all the forms it uses: lists, single objects, fenced, inside prose; and two that hold none."""
+    d = table(spark, sf, "documents").select("doc_id", F.replace(F.substring("text", 1, 40), F.lit("`"), F.lit(".")).alias("a"), F.col("doc_id").cast("string").alias("i"))
+    item = F.to_json(F.struct(F.concat(F.lit("Q"), "i").alias("question"), F.col("a").alias("answer")))
+    second = F.to_json(F.struct(F.concat(F.lit("R"), "i").alias("question")))
+    listed = F.concat(F.lit("["), item, F.lit("]"))
+    forms = [
+        F.concat(F.lit("[ "), item, F.lit(", "), second, F.lit("]\n")),
+        item,
+        F.concat(F.lit("```json\n"), listed, F.lit("\n```")),
+        F.concat(F.lit("```\n"), listed, F.lit("\n```")),
+        F.concat(F.lit("Here you are: "), listed, F.lit(" done")),
+        F.concat(F.lit("garbage "), "i"),
+        F.lit(""),
+    ]
+    d = d.select("doc_id", F.get(F.array(*forms), (F.col("doc_id") % 7).cast("int")).alias("raw"))
+    d = d.select("doc_id", F.posexplode(generated.parse_items(F.col("raw"))).alias("pos", "item"))
     m = generated.to_messages(F.col("item"), "qa")
-    return d.select("id", "pos", m[0]["content"].alias("question"), m[1]["content"].alias("answer"))
+    return d.select("doc_id", "pos", m[0]["content"].alias("question"), m[1]["content"].alias("answer"))
 
 
 _before, _after = generated.USER_PROMPT.replace("{n}", "3").replace("{format}", "qa").replace("{goal}", "study").split("{content}")
@@ -254,18 +265,24 @@ def q53(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
-REVIEWS = [(0, 5, "[4, 3, 5, 2, 4]"), (1, 2, "[9, -1]"), (2, 3, "[1, 2]"), (3, 2, "oops"), (4, 1, "[5]")]
+_BATCHED = "SELECT conv_id, (row_number() OVER (ORDER BY conv_id) - 1) // 5 AS batch, CAST((row_number() OVER (ORDER BY conv_id) - 1) % 5 AS INTEGER) AS pos FROM (SELECT DISTINCT conv_id FROM conversations)"
 
 
 @query(
     "q54_review_scores",
-    """WITH x(batch, pos, score) AS (VALUES (0,0,4),(0,1,3),(0,2,5),(0,3,2),(0,4,4),(1,0,5),(1,1,1),(2,0,3),(2,1,3),(2,2,3),(3,0,3),(3,1,3),(4,0,5))
-SELECT batch, pos, score, (score - 1) / 4.0::DOUBLE AS quality_score, score >= 3 AS approved FROM x""",
+    f"""WITH b AS ({_BATCHED}), s AS (SELECT *, CAST(CASE batch % 4 WHEN 0 THEN (pos * 7 + batch) % 9 - 1 WHEN 1 THEN (pos + batch) % 5 + 1 ELSE 3 END AS INTEGER) AS given FROM b)
+SELECT conv_id, greatest(1, least(5, given)) AS score, (greatest(1, least(5, given)) - 1) / 4.0::DOUBLE AS quality_score, greatest(1, least(5, given)) >= 3 AS approved FROM s""",
 )
 def q54(spark, sf):
-    s = spark.createDataFrame([(b, p) for b, n, _ in REVIEWS for p in range(n)], "batch int, pos int")
-    r = spark.createDataFrame([(b, raw) for b, _, raw in REVIEWS], "batch int, raw string")
-    return review.apply_scores(s, r).select("batch", "pos", "score", "quality_score", "approved")
+    """Raters' lists for batches of five: beyond 1 to 5, within, one score too many, and no list."""
+    ids = table(spark, sf, "conversations").select(F.col("conv_id").alias("id")).distinct()
+    s = review.batches(ids)
+    n = s.groupBy("batch").agg(F.count("*").alias("n"))
+    wild = F.expr("transform(sequence(0, cast(n AS int) - 1), i -> (i * 7 + batch) % 9 - 1)")
+    mild = F.expr("transform(sequence(0, cast(n AS int) - 1), i -> (i + batch) % 5 + 1)")
+    kind = F.col("batch") % 4
+    raw = F.when(kind == 0, F.to_json(wild)).when(kind == 1, F.to_json(mild)).when(kind == 2, F.to_json(F.expr("array_repeat(5, cast(n AS int) + 1)"))).otherwise(F.lit("oops"))
+    return review.apply_scores(s, n.select("batch", raw.alias("raw"))).select(F.col("id").alias("conv_id"), "score", "quality_score", "approved")
 
 
 @query("q56_nfkc")

@@ -31,35 +31,34 @@ def q16(spark, sf):
     return pages(spark, sf).select("page_id", urls.sanitise(F.col("url")).alias("url"))
 
 
-#: (given, canonical) — None where a URL is rejected.
-EDGES = [
-    ("example.com/A/b", "https://example.com/A/b"),
-    ("//x.com/p", "https://x.com/p"),
-    ("HTTP://E.com", None),
-    ("ftp://x.com/f", None),
-    ("mailto:a@b.com", None),
-    ("javascript:alert(1)", None),
-    ("localhost:3000/x", None),
-    ("  https://Exa mple.COM/Pa th\t", "https://example.com/Path"),
-    ("https://WWW.Example.com/MiXed", "https://www.example.com/MiXed"),
-    ("https://e.com/?UTM_Source=a&b=1&ref=2", "https://e.com/?b=1"),
-    ("https://e.com/?a=&b", "https://e.com/?a=&b="),
-    ("https://e.com/p%20q?x=a%20b+c", "https://e.com/p%20q?x=a+b+c"),
-    ("https://e.com/é?q=ü~*", "https://e.com/%C3%A9?q=%C3%BC~%2A"),
-    ("https://e.com:8080/x#frag", "https://e.com:8080/x"),
-    ("https://e.com/a;b?c=d", "https://e.com/a;b?c=d"),
-    ("https://e.com", "https://e.com"),
-    ("", None),
-    (None, None),
-]
-_lit = lambda s: "NULL" if s is None else "'" + s.replace("'", "''") + "'"
-_edges = ", ".join(f"({i}, {_lit(b)})" for i, (_, b) in enumerate(EDGES))
-
-
-@query("q17_url_sanitise_edge", f"SELECT * FROM (VALUES {_edges}) x(ord, url)")
+_site = f"{AUTH.format('url')} AS a, {PATH.format('url')} AS p"
+
+
+@query(
+    "q17_url_sanitise_edge",
+    f"""WITH u AS (SELECT page_id, {_site} FROM pages)
+SELECT page_id, CASE page_id % 11 WHEN 4 THEN 'https://' || lower(a) || p || '?b=1' WHEN 5 THEN 'https://' || lower(a) || p || '?a=&b=' WHEN 6 THEN 'https://' || lower(a) || p || '?q=%C3%BC~%2A&x=a+b+c'
+  WHEN 7 THEN 'https://' || lower(a) || p || '/%C3%A9;c?c=d' WHEN 0 THEN 'https://' || lower(a) || p WHEN 1 THEN 'https://' || lower(a) || p WHEN 3 THEN 'https://' || lower(a) || p END AS url FROM u""",
+)
 def q17(spark, sf):
-    d = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(EDGES)], "ord int, raw string")
-    return d.select("ord", urls.sanitise(F.col("raw")).alias("url"))
+    """Each page's address without a scheme, with another, padded, in capitals, with tracking, blank or coded parts, or no address at all."""
+    a, p = urls.authority(F.col("url")), urls.path(F.col("url"))
+    plain = F.concat(F.lit("https://"), a, p)
+    forms = [
+        F.concat(a, p),
+        F.concat(F.lit("//"), a, p),
+        F.concat(F.lit("ftp://"), a, p),
+        F.concat(F.lit("  https://"), F.upper(a), p, F.lit(" \t#frag")),
+        F.concat(plain, F.lit("?UTM_Source=a&b=1&ref=2")),
+        F.concat(plain, F.lit("?a=&b")),
+        F.concat(plain, F.lit("?q=ü~*&x=a%20b+c")),
+        F.concat(plain, F.lit("/é;c?c=d")),
+        F.concat(F.lit("mailto:me@"), a),
+        F.concat(F.lit("javascript:alert("), F.col("page_id").cast("string"), F.lit(")")),
+        F.lit(None).cast("string"),
+    ]
+    raw = F.get(F.array(*forms), (F.col("page_id") % 11).cast("int"))
+    return pages(spark, sf).select("page_id", urls.sanitise(raw).alias("url"))
 
 
 _ext = "|".join(urls.FILE_ENDINGS)
@@ -187,41 +186,123 @@ def q43(spark, sf):
     return selection.page(pages(spark, sf), 1, ["url", "page_id"])
 
 
-ROBOTS = [("https://a.com", "User-agent: *\nSITEMAP: https://a.com/s1.xml\nSitemap: https://a.com/s2.xml"), ("https://b.com", "sitemap:https://b.com/x.xml \nDisallow: /x"), ("https://c.com", "User-agent: *"), ("https://d.com", None)]
+@query(
+    "q52_robots_sitemap",
+    """WITH h AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/?#]*)', 1) AS host FROM pages)
+SELECT host, host || CASE length(host) % 5 WHEN 0 THEN '/s1.xml' WHEN 1 THEN '/x.xml' ELSE '/late.xml' END AS sitemap FROM h WHERE length(host) % 5 IN (0, 1, 4)""",
+)
+def q52(spark, sf):
+    """Every host has a robots body by its length; the first sitemap it names counts."""
+    host = F.col("host")
+    body = (
+        F.when(F.length(host) % 5 == 0, F.concat(F.lit("User-agent: *\nSITEMAP: "), host, F.lit("/s1.xml\nSitemap: "), host, F.lit("/s2.xml")))
+        .when(F.length(host) % 5 == 1, F.concat(F.lit("sitemap:"), host, F.lit("/x.xml \nDisallow: /x")))
+        .when(F.length(host) % 5 == 2, F.lit("User-agent: *"))
+        .when(F.length(host) % 5 == 4, F.concat(F.lit("# Sitemap: no\r\nDisallow:\rSitemap:\t"), host, F.lit("/late.xml\r\n")))
+    )
+    hosts = pages(spark, sf).select(urls.origin(F.col("url")).alias("host")).distinct()
+    return discovery.robots_sitemap(hosts.select("host", body.alias("body")))
 
 
-@query("q52_robots_sitemap", "SELECT * FROM (VALUES ('https://a.com', 'https://a.com/s1.xml'), ('https://b.com', 'https://b.com/x.xml')) x(host, sitemap)")
-def q52(spark, sf):
-    return discovery.robots_sitemap(spark.createDataFrame(ROBOTS, "host string, body string"))
+NAMESPACE = ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+
+
+def _xml(rows, group, order, address, root: str, item: str, namespace: str = ""):
+    """(group, body): a sitemap file a group that lists the addresses in order."""
+    safe = F.replace(F.replace(address, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    one = F.concat(F.lit(f"<{item}><loc>"), safe, F.lit(f"</loc></{item}>"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), one.alias("x")))), lambda e: e["x"]), "")
+    return rows.groupBy(*group).agg(F.concat(F.lit(f"<{root}{namespace}>"), listed, F.lit(f"</{root}>")).alias("body"))
 
 
-SITEMAPS = [
-    ("https://a.com/i.xml", 200, '<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://a.com/j.xml</loc></sitemap><sitemap><loc>https://a.com/p.xml</loc></sitemap><sitemap><loc>https://a.com/bad.xml</loc></sitemap></sitemapindex>'),
-    ("https://a.com/j.xml", 200, "<sitemapindex><sitemap><loc>https://a.com/i.xml</loc></sitemap><sitemap><loc>https://a.com/q.xml</loc></sitemap></sitemapindex>"),
-    ("https://a.com/p.xml", 200, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a.com/1</loc></url><url><loc>https://www.a.com/2</loc></url></urlset>'),
-    ("https://a.com/q.xml", 200, "<urlset><url><loc>https://a.com/3</loc></url></urlset>"),
-    ("https://a.com/bad.xml", 200, "not xml <urlset>"),
-    ("https://a.com/gone.xml", 404, "<urlset><url><loc>https://a.com/9</loc></url></urlset>"),
-]
+def _placed(rows):
+    from ..operators.relational import ranked
 
+    return ranked(rows, [F.col("ord")], "place").select(F.col("place").cast("long").alias("place"), "url")
 
-@query("q50_sitemap_rows", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'https://a.com/3'), (2, 'https://a.com/1'), (3, 'https://www.a.com/2')) x(place, url)")
+
+@query(
+    "q50_sitemap_rows",
+    """WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS host FROM pages)
+SELECT row_number() OVER (ORDER BY host, page_id) AS place, url FROM p WHERE length(host) % 5 NOT IN (0, 1)""",
+)
 def q50(spark, sf):
+    """One index lists a file a site, the file its pages; by a site's length its file is no XML or is not found."""
+    p = pages(spark, sf).withColumn("host", urls.origin(F.col("url")))
+    files = _xml(p, ["host"], F.col("page_id"), F.col("url"), "urlset", "url", NAMESPACE)
+    name = F.concat("host", F.lit("/sitemap.xml"))
+    kind = F.length("host") % 5
+    files = files.select(name.alias("url"), F.when(kind == 1, 404).otherwise(200).alias("status"), F.when(kind == 0, F.concat(F.lit("not xml "), "body")).otherwise(F.col("body")).alias("body"))
+    index = _xml(p.select("host").distinct(), [], F.col("host"), name, "sitemapindex", "sitemap", NAMESPACE)
+    fetched = files.unionByName(index.select(F.lit("https://root.example.com/i.xml").alias("url"), F.lit(200).alias("status"), "body"))
+    return _placed(discovery.sitemap_closure(fetched, "https://root.example.com/i.xml"))
+
+
+def _site_graph(spark, sf):
+    """(origin, page_id, k, c): each page with its place on its site and the pages of the site."""
     from pyspark.sql import Window
 
-    fetched = spark.createDataFrame(SITEMAPS, "url string, status int, body string")
-    rows = discovery.sitemap_closure(fetched, "https://a.com/i.xml")
-    return rows.select(F.row_number().over(Window.orderBy("ord")).cast("long").alias("place"), "url")
+    site = Window.partitionBy("origin")
+    n = table(spark, sf, "pages").select("page_id", urls.origin(F.col("url")).alias("origin"))
+    return n.withColumns({"k": F.row_number().over(site.orderBy("page_id")) - 1, "c": F.count("*").over(site)})
+
+
+def _address(k):
+    return F.concat("origin", F.lit("/"), k.cast("string"))
+
+
+def _site_links(n):
+    """(origin, src, pos, to): links of the page at place k to 2k + 1, 2k + 2, k + 3 and 5k modulo the pages of its site."""
+    k = F.col("k")
+    to = F.posexplode(F.array(2 * k + 1, 2 * k + 2, k + 3, (k * 5 % F.col("c")).cast("int"))).alias("pos", "to")
+    return n.select("origin", _address(k).alias("src"), "c", to).where("to < c").drop("c")
+
+
+def _site_pages(n):
+    return n.select(_address(F.col("k")).alias("url"), F.when((F.col("k") > 0) & (F.col("page_id") % 7 == 3), 404).otherwise(200).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"))
+
+
+def crawl_sql(depth: int, most: int, only: str = "") -> str:
+    """The crawl of every site (or those of a condition) from its first page, level by level."""
+    levels = []
+    for d in range(depth + 1):
+        if d == 0:
+            levels.append("f0 AS (SELECT origin, k, 1 AS rank FROM n WHERE k = 0)")
+        else:
+            known = " UNION ALL ".join(f"SELECT origin, k FROM f{x}" for x in range(d))
+            found = " UNION ALL ".join(f"SELECT origin, visit FROM h{x}" for x in range(d))
+            levels.append(f"""c{d} AS (SELECT origin, max(visit) AS found FROM ({found}) GROUP BY origin),
+f{d} AS (SELECT origin, k, row_number() OVER (PARTITION BY origin ORDER BY p.r, p.pos) AS rank FROM (
+  SELECT h.origin, e.dst AS k, min({{'r': h.rank, 'pos': e.pos}}) AS p FROM h{d - 1} h JOIN c{d} c ON c.origin = h.origin AND c.found < {most} JOIN e ON e.origin = h.origin AND e.src = h.k
+  GROUP BY h.origin, e.dst) x WHERE (origin, k) NOT IN ({known}))""")
+        before = f"LEFT JOIN c{d} USING (origin)" if d else ""
+        levels.append(f"h{d} AS (SELECT * FROM (SELECT origin, k, page_id, rank, {'coalesce(found, 0) + ' if d else ''}row_number() OVER (PARTITION BY origin ORDER BY rank) AS visit FROM f{d} JOIN n USING (origin, k) {before} WHERE ok) WHERE visit <= {most})")
+    union = " UNION ALL ".join(f"SELECT origin, page_id, {d} AS depth, visit FROM h{d}" for d in range(depth + 1))
+    return f"""WITH o AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin FROM pages),
+n AS (SELECT *, k = 0 OR page_id % 7 <> 3 AS ok FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY page_id) - 1 AS k, count(*) OVER (PARTITION BY origin) AS c FROM o)),
+e AS (SELECT origin, k AS src, pos, dst FROM (SELECT origin, k, c, unnest([0, 1, 2, 3]) AS pos, unnest([2 * k + 1, 2 * k + 2, k + 3, k * 5 % c]) AS dst FROM n) WHERE dst < c),
+{", ".join(levels)}
+SELECT origin AS site, page_id, CAST(depth AS INTEGER) AS depth, CAST(visit AS INTEGER) AS visit FROM ({union}) {only}"""
+
+
+LARGEST = "WHERE origin = (SELECT max_by(origin, {'c': c, 'o': origin}) FROM n)"
+
+
+def _largest(n) -> str:
+    return n.agg(F.max_by("origin", F.struct("c", "origin"))).first()[0] or "https://none.example.com"
 
 
-LINKS = [("https://s.com/", 0, "https://s.com/a"), ("https://s.com/", 1, "https://s.com/b"), ("https://s.com/", 2, "https://o.com/z"), ("https://s.com/a", 0, "https://s.com/c"), ("https://s.com/b", 0, "https://s.com/c"), ("https://s.com/b", 1, "https://www.s.com/a"), ("https://s.com/c", 0, "https://s.com/"), ("https://s.com/c", 1, "https://s.com/d"), ("https://s.com/d", 0, "https://s.com/e"), ("https://s.com/e", 0, "https://s.com/f"), ("https://s.com/a", 1, "https://s.com/x.pdf")]
+def _named(got, n):
+    return got.join(n.select(_address(F.col("k")).alias("url"), "origin", "page_id"), "url").select(F.col("origin").alias("site"), "page_id", "depth", "visit")
 
 
-@query("q51_bfs_depth", "SELECT * FROM (VALUES ('https://s.com/', 0, 1), ('https://s.com/a', 1, 2), ('https://s.com/b', 1, 3), ('https://s.com/c', 2, 4), ('https://www.s.com/a', 2, 5), ('https://s.com/d', 3, 6)) x(url, depth, visit)")
+@query("q51_bfs_depth", crawl_sql(3, 50, LARGEST))
 def q51(spark, sf):
-    links = spark.createDataFrame(LINKS, "src string, pos int, dst string")
-    every = links.select(F.col("src").alias("url")).union(links.select("dst")).distinct()
-    return discovery.crawl(every.withColumns({"status": F.lit(200), "content_type": F.lit("text/html")}), links, "https://s.com/")
+    """The largest site crawled from its first page; links off the site and to files are not followed."""
+    n = _site_graph(spark, sf)
+    links = _site_links(n).select("src", "pos", _address(F.col("to")).alias("dst"))
+    away = n.select(_address(F.col("k")).alias("src"), F.lit(9).alias("pos"), F.explode(F.array(F.lit("https://elsewhere.example.com/0"), _address(F.concat(F.col("k").cast("string"), F.lit(".pdf"))))).alias("dst"))
+    return _named(discovery.crawl(_site_pages(n), links.unionByName(away), f"{_largest(n)}/0"), n)
 
 
 @query("q57_html_extract")
@@ -244,7 +325,9 @@ def q64(spark, sf):
     return selection.toggle(selection.filter_view(s, "/en/"), "3-8", False).select("ord", "in_view", "selected")
 
 
-@query("q65_url_lines", "SELECT * FROM (VALUES ('https://a.com/x'), ('http://b.org')) x(url)")
+@query("q65_url_lines", "SELECT url FROM pages WHERE page_id % 6 IN (1, 5)")
 def q65(spark, sf):
-    lines = ["# comment", "  https://a.com/x ", "", "not a url", "http://b.org", "ftp://c.net", "https://"]
-    return discovery.url_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    """A list of lines from the pages: comments, padded addresses, empty lines, words, other schemes, addresses."""
+    url = F.col("url")
+    forms = [F.concat(F.lit("# "), url), F.concat(F.lit("\t "), url, F.lit("  ")), F.lit(""), F.concat(F.lit("not a url "), F.col("page_id").cast("string")), F.concat(F.lit("ftp://"), urls.authority(url)), url]
+    return discovery.url_lines(pages(spark, sf).select(F.get(F.array(*forms), (F.col("page_id") % 6).cast("int")).alias("value")))
