@@ -5,11 +5,13 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import duckdb
 import pytest
 
+from weftline.llm import op2_html as op2
 from weftline.llm import op11_license as op11
 from weftline.llm import op12_audit as op12
 from weftline.llm import op13_repair as op13
@@ -252,3 +254,44 @@ def test_repair_edges(spark):
     assert got["b"].audit == "D" and got["b"].cost == 2 and got["b"].repaired_sha256 == hashlib.sha256().hexdigest()
     lone = spark.createDataFrame([("c", None, "user", "A.")], "conv_id string, turn int, role string, text string")
     assert op13.with_empty(op13.repair(lone.where("turn = 1")), lone).first()[1:] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())
+
+
+# --- op2: names and depth -------------------------------------------------------------------
+
+ONE = "A first sentence that is quite long and says something of interest to all readers. " * 3
+TWO = "Another paragraph which has a good deal to say about many matters of the world as it is. " * 3
+
+
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ('<h2 id="related-work">Heading</h2>', "Heading"),
+        ('<h2 id="navigation">Heading</h2>', "Heading"),
+        (f'<section id="side-effects"><p>{TWO}</p></section>', TWO),
+        (f'<p class="social-history">{TWO}</p>', TWO),
+        (f'<div class="share-price">{TWO}</div>', TWO),
+        (f'<div class="cookie-recipe">{TWO}</div>', TWO),
+        (f'<div class="discussion"><p>{TWO}</p><p>{TWO}</p></div>', TWO + TWO),
+        ('<div class="share-buttons"><a href="x">Tweet</a> <a href="y">Mail</a></div>', ""),
+        ('<div class="related-posts"><p>Other things to read on</p></div>', ""),
+        (f'<div id="comments"><p>{TWO}</p></div>', ""),
+        ('<div class="newsletter-signup">Get our mail</div>', ""),
+        ('<div class="cookie-notice">We use cookies here.</div>', ""),
+        (f'<div class="ad-slot">{TWO}</div>', ""),
+    ],
+)
+def test_whole_names_decide(part, text):
+    page = f"<html><body><article><p>{ONE}</p>{part}<p>{ONE}</p></article></body></html>"
+    assert op2.main_text(page) == " ".join((ONE + text + " " + ONE).split())
+
+
+def test_headings_without_marks():
+    for page in (f"<body><h3>Why it matters</h3><p>{ONE}</p><p>{TWO}</p></body>", f"<body><p>{ONE}</p><h3>Why it matters</h3><p>{TWO}</p></body>"):
+        assert "Why it matters" in op2.main_text(page)
+
+
+def test_depth_costs_no_more_than_length():
+    start = time.process_time()
+    assert op2.main_text("<body>" + "<div>word" * 100_000).count("word") in (0, 100_000)
+    assert len(op2.main_text("<body><p>" + "<span>word " * 50_000 + "</div>" * 50_000)) == 50_000 * 5 - 1
+    assert time.process_time() - start < 60

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +32,17 @@ BOILER_TAGS = frozenset("nav footer aside form menu button select textarea input
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
 CONTENT_TAGS, CONTENT_ROLES = frozenset(["article", "main"]), frozenset(["main", "article"])
 BOILER_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer copyright sidebar side rail widget related recommended share sharing social follow subscribe subscription newsletter signup login popup modal overlay cookie cookies consent gdpr notice alert comment comments commentlist disqus replies discussion pagination pager tags toolbar form search".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar widget related recommended newsletter popup modal overlay cookie cookies consent gdpr comments commentlist disqus replies pagination pager".split()
 )
+#: Names that sections of an article have too: they tell of boilerplate where the text is short or mostly links.
+UNSURE_NAMES = frozenset("banner promotion copyright side rail share sharing social follow subscribe subscription signup login notice alert comment discussion tags toolbar form search".split())
+#: Words that go with a name and change nothing.
+WITH_NAMES = frozenset("area bar block bottom box button buttons col column container content desktop div entry global group head icons inner item items left link links list main mobile module outer page post posts primary right row secondary section site slot text top unit wrap wrapper".split())
 CONTENT_NAMES = frozenset("article content entry post story main body maincontent articlebody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMELESS = HEADINGS | frozenset("html body article main p".split())
+#: Elements whose end tags no paragraph's reaches across.
+P_SCOPE = frozenset("table body article main section td th".split())
 
 TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -43,43 +50,51 @@ NAME = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 #: A class that begins so tells of a state of the page (a layout with a sidebar), not of what the element is.
 STATES = frozenset("with without has no non not layout".split())
 STRONG, WEAK, EDGE = 8.0, 2.0, 1.2
+SURE, UNSURE, NOTHING, CONTENT = -2, -1, 0, 1
+#: Characters up to which a text is short for its name, and the share of link characters from which it is mostly links.
+SHORT, LINKS = 300, 0.5
 #: An element with more of the page's text than this is no boilerplate for its class or id alone.
 SHARE = 0.8
 
 
 def named(value: str, tag: str) -> int:
-    """-1 or 1 if a class or id of the list names boilerplate or content, else 0; whole names decide, word by word."""
-    content = False
+    """What a class or id of the list names: SURE or UNSURE boilerplate, CONTENT, or NOTHING; only a whole name tells of boilerplate,
+    so ``share-buttons`` does and ``share-price`` does not."""
+    found = NOTHING
     for token in html.unescape(value).split():
         words = [x.lower() for x in NAME.split(token) if x]
         if not words or words[0] in STATES:
             continue
         some = not CONTENT_NAMES.isdisjoint(words)
-        boiler = BOILER_NAMES.intersection(words)
-        if boiler == {"header"} and (some or tag in HEADINGS):
-            boiler = frozenset()  # an entry's own header
-        if boiler:
-            return -1
-        content |= some
-    return int(content)
+        sure, unsure = BOILER_NAMES.intersection(words), UNSURE_NAMES.intersection(words)
+        if sure == {"header"} and some:
+            sure = frozenset()  # an entry's own header
+        if (sure or unsure) and all(w in BOILER_NAMES or w in UNSURE_NAMES or w in WITH_NAMES for w in words):
+            found = min(found, SURE if sure else UNSURE)
+        elif some and found == NOTHING:
+            found = CONTENT
+    return found
 
 
 class Node:
-    """An open element: tag, parent, depth, text size, what its tag and role (own) and its names say (+ content, - boilerplate), and the mark from all."""
+    """An open element: tag, parent, depth, the nearest block element and the paragraph open here, sizes of text and link text, what its tag and
+    role (own) and its names say, and the mark from all (+ content, - boilerplate). Headings and paragraphs have no names: their ids are made from their text."""
 
-    __slots__ = ("depth", "hidden", "link", "mark", "named", "own", "parent", "size", "tag")
+    __slots__ = ("block", "depth", "hidden", "link", "linked", "mark", "named", "own", "p", "parent", "size", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.p = self if tag == "p" else None if parent is None or tag in P_SCOPE else parent.p
         self.hidden = bool(parent and parent.hidden) or tag in HIDDEN
         self.link = tag == "a" or bool(parent and parent.link)
-        self.mark, self.named, self.size = 0.0, 0, 0
+        self.mark, self.named, self.size, self.linked = 0.0, NOTHING, 0, 0
         self.own = STRONG if tag in CONTENT_TAGS else -STRONG if tag in BOILER_TAGS or tag == "header" else 0.0
         names = []
         for key, value in ATTR.findall(attrs) if attrs and not attrs.isspace() else ():
             key, value = key.lower(), value.strip("\"'")
-            if key in ("class", "id"):
+            if key == "class" or key == "id" and tag != "section":
                 names.append(named(value, tag))
             elif key == "role":
                 self.own = -STRONG if value.lower() in BOILER_ROLES else STRONG if value.lower() in CONTENT_ROLES else self.own
@@ -87,7 +102,7 @@ class Node:
                 self.hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 self.hidden = True
-        if names and tag not in ("html", "body", "article", "main"):
+        if names and tag not in NAMELESS:
             self.named = min(names) if min(names) < 0 else max(names)
 
     def weigh(self, total: int) -> None:
@@ -96,9 +111,10 @@ class Node:
         mark = parent.mark if parent else 0.0
         if self.tag in ("h1", "h2", "h3") and parent and parent.tag == "header" and parent.parent and parent.parent.mark > 0:
             strength = STRONG  # an article's own heading stands in its header
-        if self.named < 0 and self.size <= SHARE * total:
+        likely = self.size <= SHORT or self.linked > LINKS * self.size
+        if self.size <= SHARE * total and (self.named == SURE or self.named == UNSURE and likely):
             strength = -STRONG
-        elif self.named > 0 and not strength:
+        elif self.named == CONTENT and not strength:
             strength = STRONG if mark >= 0 else 0.0
         # what stands inside boilerplate stays boilerplate but for an article; the innermost word counts most
         self.mark = strength + 0.25 * mark if strength else mark
@@ -116,17 +132,26 @@ class Block:
 def blocks(page: str) -> list[tuple[Node, str, float]]:
     """(element, text, share of link characters) of each block of text in page order."""
     root = here = Node("#root", "", None)
+    standing: Counter = Counter()
     nodes: list[Node] = []
     out: list[Block] = []
     open_block: Block | None = None
     at, end = 0, len(page)
 
-    def close_to(tags: str, stop: str) -> None:
+    def go_to(x: Node) -> None:
+        """Close what stands open below x."""
         nonlocal here
+        while here is not x:
+            standing[here.tag] -= 1
+            here = here.parent
+
+    def close_to(tags: str, stop: str) -> None:
+        if not any(standing[t] for t in tags.split()):
+            return
         x = here
         while x.parent is not None and x.tag not in stop.split() and x.tag not in ("body", "article", "main", "section", "td", "th"):
             if x.tag in tags.split():
-                here = x.parent
+                go_to(x.parent)
                 return
             x = x.parent
 
@@ -138,10 +163,7 @@ def blocks(page: str) -> list[tuple[Node, str, float]]:
         if open_block is None:
             if not text.strip():
                 return
-            x = here
-            while x.tag not in BLOCK and x.parent is not None:
-                x = x.parent
-            open_block = Block(x)
+            open_block = Block(here.block)
             out.append(open_block)
         open_block.parts.append(text)
         n = len(text.strip())
@@ -159,18 +181,18 @@ def blocks(page: str) -> list[tuple[Node, str, float]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            x = here
-            while x.parent is not None and x.tag != tag:
-                x = x.parent
-            if x.parent is not None:
-                here = x.parent
+            if standing[tag]:
+                x = here
+                while x.tag != tag:
+                    x = x.parent
+                go_to(x.parent)
             if tag in BLOCK:
                 open_block = None
             continue
         if tag in BLOCK:
             open_block = None
-            if tag in CLOSES_P:
-                close_to("p", "table")
+            if tag in CLOSES_P and here.p:
+                go_to(here.p.parent)
             if tag in SAME:
                 close_to(*SAME[tag])
         if tag == "br" and open_block is not None:
@@ -187,10 +209,13 @@ def blocks(page: str) -> list[tuple[Node, str, float]]:
             at = stop.end()
             continue
         here = node
+        standing[tag] += 1
     for b in out:
         b.node.size += b.size
+        b.node.linked += b.linked
     for x in reversed(nodes):
         x.parent.size += x.size
+        x.parent.linked += x.linked
     for x in nodes:
         x.weigh(root.size)
     done = []
@@ -206,7 +231,7 @@ def costs(node: Node, text: str, linked: float, marked: bool) -> tuple[float, fl
     score = node.mark
     words = text.count(" ") + 1
     if not node.mark:
-        score += -STRONG / 2 if marked else min(WEAK, words / 20) + (WEAK if words >= 15 and text[-1:] in ".!?" else 0) - (0 if words >= 10 or node.tag in ("h1", "h2") else WEAK)
+        score += -STRONG / 2 if marked else min(WEAK, words / 20) + (WEAK if words >= 15 and text[-1:] in ".!?" else 0) - (0 if words >= 10 or node.tag in ("h1", "h2", "h3", "h4") else WEAK)
     score -= WEAK * (linked > 0.5 and words < 60) + WEAK * 2 * (linked > 0.8 and node.mark <= 0)
     return max(0.0, -score), max(0.0, score)
 
