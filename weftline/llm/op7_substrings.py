@@ -221,6 +221,15 @@ def removed(n: int, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int
     return list(zip(s[new].tolist(), e[stop].tolist(), strict=True))
 
 
+def by_bucket(bucket: np.ndarray):
+    """(bucket, its places in order) of the buckets that occur; the work is that of the places, however many buckets there are."""
+    order = np.argsort(bucket, kind="stable")
+    found = bucket[order]
+    new = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
+    for x, y in zip(new.tolist(), [*new[1:].tolist(), len(found)], strict=False):
+        yield int(found[x]), order[x:y]
+
+
 def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, digest, n_bytes, spans, kept_sha256) a row of docs (doc_id, text); spans are the removed [start, end).
 
@@ -239,10 +248,7 @@ def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
 
     def ask(key, pdf: pd.DataFrame) -> pd.DataFrame:
         h, many = asked(pdf)
-        bucket = (h >> np.uint64(32)) % np.uint64(ask_buckets)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(ask_buckets + 1))
-        out = [(int(key[0]), b, h[order[x:y]].tobytes(), many[order[x:y]].tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+        out = [(int(key[0]), b, h[i].tobytes(), many[i].tobytes()) for b, i in by_bucket((h >> np.uint64(32)) % np.uint64(ask_buckets))]
         return pd.DataFrame(out, columns=["batch", "bucket", "h", "many"])
 
     def answer(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -282,13 +288,7 @@ def repeated_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
         left = window - K
         lead = np.ascontiguousarray(ctx[:, left : left + K])
         bucket = np.searchsorted(splitters, lead.view(f"S{K}").ravel(), side="right") * deals + dealt(lead, deals)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out = []
-        for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if y > x:
-                i = order[x:y]
-                out.append((int(key[0]), b, i.astype(np.int32).tobytes(), least[i].tobytes(), ctx[i].tobytes(), low[i].tobytes(), high[i].tobytes()))
+        out = [(int(key[0]), b, i.astype(np.int32).tobytes(), least[i].tobytes(), ctx[i].tobytes(), low[i].tobytes(), high[i].tobytes()) for b, i in by_bucket(bucket)]
         return pd.DataFrame(out, columns=cols)
 
     def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
