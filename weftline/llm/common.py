@@ -164,6 +164,8 @@ def components(edges: DataFrame, per_part: int = 1_000_000) -> DataFrame:
 
 #: Rows of a block of a large bucket; rows of a bucket compared by offsets; slots of a task; pairs weighed at once.
 BLOCK, SMALL, TASK, AT_ONCE = 2048, 48, 16_384, 4096
+#: Bytes of whole values in a task, two blocks' worth at most in one slot.
+TASK_BYTES = 64_000_000
 LEFT, RIGHT = 2, 1
 
 
@@ -318,15 +320,20 @@ def linked_groups(members: DataFrame, sketches: DataFrame, likeness, verify, rou
             named = written(named, "live")
             common = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("common"), F.max("n").alias("most"))
             named = named.join(common, "key").selectExpr("key", "id", "size", "root", "root <> common AS rare", "size - most AS n_rare")
-        block, task = (BLOCK // 4, TASK // 4) if last else (BLOCK, TASK if top else BLOCK)
+        block, task = (BLOCK, TASK if top else BLOCK)
+        if last:
+            # whole values have any size: blocks are cut so that two of them fit in a task, whatever the longest value
+            values = written(whole(written(named.select("id").distinct(), "open-ids")).select("id", "sketch"), "open-values")
+            longest = values.agg(F.max(F.length("sketch"))).first()[0] or 1
+            block = max(1, min(BLOCK // 4, TASK_BYTES // (2 * longest)))
+            task = min(TASK // 4, 2 * block)
         named = written(named.selectExpr("*", f"{first} AS is_first").selectExpr("key", "id", "size", "root", f"{slots(block)} AS slots"), "open")
         n = named.agg(F.sum(F.size("slots"))).first()[0]
         if not n:
             if first:
                 continue
             break
-        values = whole(written(named.select("id").distinct(), "open-ids")) if last else sketches
-        slot = named.join(values.select("id", "sketch"), "id").selectExpr("key", "id", "root", "sketch", "inline(slots)")
+        slot = named.join((values if last else sketches).select("id", "sketch"), "id").selectExpr("key", "id", "root", "sketch", "inline(slots)")
         slot = slot.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts_for(n, task))))
         if last:
             found = slot.groupBy("task").applyInPandas(_linking(linker), f"a {kind}, b {kind}")
