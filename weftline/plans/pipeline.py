@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +59,38 @@ def judge(samples: DataFrame, cfg: CurationConfig) -> DataFrame:
     return out.withColumnRenamed("score", "quality_score")
 
 
+@dataclass(frozen=True)
+class Inputs:
+    """What a run is given: (ord, url, source), fetched bodies (url, html, page_id) and, where they are skipped, known URLs (url)."""
+
+    urls: DataFrame
+    fetched: DataFrame
+    known: DataFrame | None = None
+
+
+class Stage(Protocol):
+    """A stage: the pipeline, whose ``read`` gives the tables of earlier stages, and the inputs of the run in; its own table out."""
+
+    def __call__(self, pipeline: Pipeline, given: Inputs) -> DataFrame: ...
+
+
+#: The stages that fill a table, by name; a Pipeline may be given others in their place.
+DEFAULT: dict[str, Stage] = {
+    "discovery": lambda p, given: discover(given.urls, p.cfg, given.known),
+    "collection": lambda p, given: collect(p.read("discovery").where("selected"), given.fetched),
+    "processing": lambda p, given: process(p.read("collection"), p.cfg),
+    "generation": lambda p, given: make(p.read("processing"), p.cfg, p.generator),
+    "quality": lambda p, given: judge(p.read("generation"), p.cfg),
+}
+
+
 @dataclass
 class Pipeline:
-    """Runs stages from start to stop over tables below ``root``. Hooks see each stage; a post hook returning False pauses."""
+    """Runs stages from start to stop over tables below ``root``. Hooks see each stage; a post hook returning False pauses.
+
+    ``stages`` replaces stages by name. ``progress`` is told (stage, what was written, rows) as each table or export ends,
+    counted while it was written.
+    """
 
     spark: SparkSession
     root: str
@@ -67,23 +98,40 @@ class Pipeline:
     generator: generate.Generator | None = generate.echo_generator
     pre_stage: Callable[[str], None] | None = None
     post_stage: Callable[[str, DataFrame], bool] | None = None
+    stages: dict[str, Stage] = field(default_factory=dict)
+    progress: Callable[[str, str, int], None] | None = None
+
+    def __post_init__(self) -> None:
+        if unknown := set(self.stages) - set(DEFAULT):
+            raise ValueError(f"no stages of these names: {sorted(unknown)}")
 
     def read(self, stage: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{stage}").where(F.col("session_id") == self.cfg.session_id).drop("session_id")
 
     def save(self, stage: str, df: DataFrame) -> DataFrame:
-        local.replace_session(df.withColumn("session_id", F.lit(self.cfg.session_id)), self.root, stage)
+        rows = local.replace_session(df.withColumn("session_id", F.lit(self.cfg.session_id)), self.root, stage)
+        self._tell(stage, "table", rows)
         return self.read(stage)
 
+    def _tell(self, stage: str, what: str, rows: int) -> None:
+        if self.progress:
+            self.progress(stage, what, rows)
+
+    def _export(self) -> DataFrame:
+        rows = local.export_rows(self.read("quality").withColumn("session_id", F.lit(self.cfg.session_id)))
+        root, written = f"{self.root}/export/{self.cfg.session_id}", {}
+
+        def tell(kind: str, n: int) -> None:
+            written[kind] = n
+            self._tell("export", kind, n)
+
+        for kind, path in local.export_all(rows, root, progress=tell).items():
+            local.append_table(local.export_log(written[kind], self.spark, self.cfg.session_id, "local", path, kind, "export"), self.root, "export_log")
+        return rows
+
     def run(self, urls: DataFrame, fetched: DataFrame, start: str = ORDER[0], stop: str = ORDER[-1], known: DataFrame | None = None) -> str:
         """The status: completed, or paused by a hook. Without a generator, generation is skipped; without samples, quality is."""
-        steps = {
-            "discovery": lambda: discover(urls, self.cfg, known),
-            "collection": lambda: collect(self.read("discovery").where("selected"), fetched),
-            "processing": lambda: process(self.read("collection"), self.cfg),
-            "generation": lambda: make(self.read("processing"), self.cfg, self.generator),
-            "quality": lambda: judge(self.read("generation"), self.cfg),
-        }
+        given, steps = Inputs(urls, fetched, known), DEFAULT | self.stages
         for stage in ORDER[ORDER.index(start) : ORDER.index(stop) + 1]:
             if stage == "generation" and self.generator is None:
                 continue
@@ -91,14 +139,7 @@ class Pipeline:
                 continue
             if self.pre_stage:
                 self.pre_stage(stage)
-            if stage == "export":
-                rows = local.export_rows(self.read("quality").withColumn("session_id", F.lit(self.cfg.session_id)))
-                paths = local.export_all(rows, f"{self.root}/export/{self.cfg.session_id}")
-                for kind, path in paths.items():
-                    local.append_table(local.export_log(rows.count(), self.spark, self.cfg.session_id, "local", path, kind, stage), self.root, "export_log")
-                out = rows
-            else:
-                out = self.save(stage, steps[stage]())
+            out = self._export() if stage == "export" else self.save(stage, steps[stage](self, given))
             if self.post_stage and self.post_stage(stage, out) is False:
                 return "paused"
         return "completed"
@@ -115,10 +156,13 @@ class Pipeline:
         return df.orderBy(order).limit(limit), max(0, df.count() - limit)
 
     def _has(self, stage: str) -> bool:
+        """Whether the stage has rows; only a missing or empty folder means that it has none, any other failure is one."""
         try:
             return not self.read(stage).isEmpty()
-        except Exception:  # noqa: BLE001  no table yet
-            return False
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return False
+            raise
 
     def counts(self) -> dict[str, int]:
         return {stage: self.read(stage).count() for stage in ORDER[:-1] if self._has(stage)}

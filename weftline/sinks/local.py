@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.chat import sharegpt
@@ -19,34 +20,40 @@ def export_rows(samples: DataFrame, approved_only: bool = True) -> DataFrame:
     return rows.select("id", "format", F.col("system_prompt").alias("system"), "messages", "quality_score", "session_id")
 
 
+def counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Rows that ``write`` writes of df, counted by the executors as they pass: nothing is read again and nothing computed twice."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return seen.get["rows"]
+
+
 def write_jsonl(df: DataFrame, path: str) -> int:
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-    return df.sparkSession.read.text(path).count()
+    return counted(df, lambda d: d.write.mode("overwrite").option("ignoreNullFields", "false").json(path))
 
 
 def write_parquet(df: DataFrame, path: str) -> int:
-    df.write.mode("overwrite").option("compression", "snappy").parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    return counted(df, lambda d: d.write.mode("overwrite").option("compression", "snappy").parquet(path))
 
 
 def write_csv(df: DataFrame, path: str) -> int:
     """Nested columns as JSON text."""
     flat = df.select(*[F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name) for f in df.schema.fields])
-    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    return df.sparkSession.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).count()
+    return counted(flat, lambda d: d.write.mode("overwrite").option("header", True).option("escape", '"').csv(path))
 
 
 def to_sharegpt(df: DataFrame, system: str = "") -> DataFrame:
     return df.select(sharegpt(F.col("messages"), system).alias("conversations"))
 
 
-def export_all(df: DataFrame, root: str, name: str = "dataset", system: str = "") -> dict[str, str]:
+def export_all(df: DataFrame, root: str, name: str = "dataset", system: str = "", progress: Callable[[str, int], None] | None = None) -> dict[str, str]:
+    """The paths of df in all formats. df is computed once, into Parquet, which the others read; ``progress`` is told each format's rows as it ends."""
     paths = {"jsonl": f"{root}/{name}.jsonl", "parquet": f"{root}/{name}.parquet", "csv": f"{root}/{name}.csv", "sharegpt": f"{root}/{name}_sharegpt.jsonl"}
-    write_parquet(df, paths["parquet"])
+    tell = progress or (lambda kind, rows: None)
+    tell("parquet", write_parquet(df, paths["parquet"]))
     done = df.sparkSession.read.schema(df.schema).parquet(paths["parquet"])
-    write_jsonl(done, paths["jsonl"])
-    write_csv(done, paths["csv"])
-    write_jsonl(to_sharegpt(done, system), paths["sharegpt"])
+    tell("jsonl", write_jsonl(done, paths["jsonl"]))
+    tell("csv", write_csv(done, paths["csv"]))
+    tell("sharegpt", write_jsonl(to_sharegpt(done, system), paths["sharegpt"]))
     return paths
 
 
@@ -96,9 +103,9 @@ def append_table(df: DataFrame, root: str, name: str) -> None:
     df.write.mode("append").partitionBy("session_id").parquet(f"{root}/{name}")
 
 
-def replace_session(df: DataFrame, root: str, name: str) -> None:
-    """Overwrite only the partitions of the sessions in df: a stage that runs again replaces its own rows."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{root}/{name}")
+def replace_session(df: DataFrame, root: str, name: str) -> int:
+    """Overwrite only the partitions of the sessions in df: a stage that runs again replaces its own rows. Returns the rows written."""
+    return counted(df, lambda d: d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{root}/{name}"))
 
 
 def export_log(df_count: int, spark, session_id: str, destination: str, path: str, kind: str, stage: str) -> DataFrame:
