@@ -123,3 +123,28 @@ def test_deep_pages():
 
     got = markup.extract_page("<body>" + "<div>a" * 10_000 + "<ol><li>x<li>y</ol>", "https://e.com")
     assert got["word_count"] == 10_002 and got["markdown"].endswith("1. x\n2. y")
+
+
+def test_sitemap_entries(spark):
+    index = '<?xml version="1.0" encoding="UTF-8"?>\n<!-- <urlset> -->\n<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://a.com/j.xml</loc></sitemap></sitemapindex>\n'
+    bodies = [
+        index,
+        "<ns:urlset xmlns:ns='u'><ns:url><ns:loc>\n https://a.com/3?a=1&amp;b=2 </ns:loc></ns:url></ns:urlset>",
+        "not xml <urlset>",
+        "<urlset><url><loc>cut</loc></url>",
+        "<urlset><url><loc>a&nbsp;b</loc></url></urlset>",
+        "<urlset><url><loc>x</loc></url></urlset><urlset/>junk",
+        "<html><body><url><loc>q</loc></url></body></html>",
+        "<urlset><url><priority>1</priority></url><url><loc><![CDATA[https://a.com/c]]></loc><loc>2</loc></url><sitemap><loc>w</loc></sitemap></urlset><!-- end -->",
+        "﻿<urlset><url><loc>bom</loc></url></urlset>",
+        "<urlset/>",
+        "",
+        None,
+        "<urlset>" + "".join(f"<url><loc>https://a.com/{i}</loc></url>" for i in range(5000)) + "</urlset>",
+    ]
+    df = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "url string, body string")
+    got = sorted((int(r.file), r.is_index, r.pos, r.url) for r in discovery.sitemap_entries(df).where("file <> '12'").collect())
+    assert got == [(0, True, 0, "https://a.com/j.xml"), (1, False, 0, "https://a.com/3?a=1&b=2"), (7, False, 0, "https://a.com/c"), (7, False, 1, "2"), (8, False, 0, "bom")]
+    assert discovery.sitemap_urls(df).where("sitemap = '12'").count() == 5000
+    plan = discovery.sitemap_entries(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1 and "Python" not in plan

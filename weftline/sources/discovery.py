@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,36 +44,36 @@ def is_sitemap_index(xml: Column) -> Column:
     return xml.rlike(r"<(?:\w+:)?sitemapindex[\s>]")
 
 
-def _well_formed(xml: Column) -> Column:
-    """Null for a body that is not XML, so that it gives no rows."""
+#: What of a sitemap file is read; whatever else it holds is passed over.
+SITEMAP = "url array<struct<loc:array<string>>>, sitemap array<struct<loc:array<string>>>, _corrupt string"
+ROOT = r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<(?:[\w.-]+:)?([A-Za-z]+)[\s/>]"
+END = r"(?s)(?:</(?:[\w.-]+:)?[A-Za-z]+\s*>|/>)(?:\s|<!--.*?-->)*$"
 
-    @F.pandas_udf("string")
-    def check(bodies: pd.Series) -> pd.Series:
-        from xml.etree import ElementTree
 
-        def one(b):
-            try:
-                ElementTree.fromstring(b.encode() if isinstance(b, str) else b)
-                return b
-            except Exception:  # noqa: BLE001  any parse failure means no rows
-                return None
+def sitemap_entries(bodies: DataFrame) -> DataFrame:
+    """(file, is_index, pos, url): the addresses of sitemap files and indexes among (url, body), each body parsed once.
 
-        return bodies.map(one)
-
-    return check(xml)
+    Namespaces and their prefixes count for nothing. Bad XML, other documents and null bodies give nothing; so do empty addresses.
+    """
+    body = F.regexp_replace("body", "^\ufeff", "")
+    read = F.from_xml(body, SITEMAP, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreNamespace": "true"})
+    files = bodies.select(F.col("url").alias("file"), F.when(body.rlike(END), F.regexp_extract(body, ROOT, 1)).alias("root"), read.alias("x")).where(F.col("root").isin("urlset", "sitemapindex"))
+    is_index = F.col("root") == "sitemapindex"
+    given = F.when(F.col("x._corrupt").isNull(), F.when(is_index, F.col("x.sitemap")).otherwise(F.col("x.url")))
+    found = F.flatten(F.transform(given, lambda e: F.coalesce(e["loc"], F.expr("cast(array() as array<string>)"))))
+    # the outer form, as a filter on the number of addresses would parse every body twice
+    rows = files.select("file", is_index.alias("is_index"), F.posexplode_outer(found).alias("pos", "url")).where("pos IS NOT NULL")
+    return rows.withColumn("url", F.regexp_replace("url", r"(?U)^\s+|\s+$", "")).where("url <> ''")
 
 
 def sitemap_urls(bodies: DataFrame) -> DataFrame:
     """(sitemap, pos, url) of the <urlset> bodies among (url, body); bad XML gives nothing."""
-    ok = bodies.withColumn("body", _well_formed(F.col("body"))).where("body IS NOT NULL")
-    loc = F.expr("xpath(body, '/urlset/url/loc/text()')")
-    return ok.select(F.col("url").alias("sitemap"), F.posexplode(loc).alias("pos", "url")).withColumn("url", F.trim("url")).where("url <> ''")
+    return sitemap_entries(bodies).where("NOT is_index").select(F.col("file").alias("sitemap"), "pos", "url")
 
 
 def sitemap_children(bodies: DataFrame) -> DataFrame:
-    ok = bodies.withColumn("body", _well_formed(F.col("body"))).where("body IS NOT NULL")
-    loc = F.expr("xpath(body, '/sitemapindex/sitemap/loc/text()')")
-    return ok.select(F.col("url").alias("parent"), F.posexplode(loc).alias("pos", "url")).withColumn("url", F.trim("url"))
+    """(parent, pos, url) of the <sitemapindex> bodies among (url, body)."""
+    return sitemap_entries(bodies).where("is_index").select(F.col("file").alias("parent"), "pos", "url")
 
 
 def sitemap_closure(fetched: DataFrame, seed: str) -> DataFrame:
@@ -85,7 +84,8 @@ def sitemap_closure(fetched: DataFrame, seed: str) -> DataFrame:
     """
     spark = fetched.sparkSession
     good = fetched.where("status = 200").select("url", "body")
-    edges = written(sitemap_children(good).where("url <> ''"), "sitemap-edges")
+    entries = written(sitemap_entries(good), "sitemap-entries")
+    edges = entries.where("is_index").select(F.col("file").alias("parent"), "pos", "url")
     walks = changed = spark.createDataFrame([(seed, [0], [seed])], "url string, walk array<int>, files array<string>")
     while True:
         step = changed.withColumnsRenamed({"url": "parent"}).join(edges, "parent").where(~F.array_contains("files", F.col("url")))
@@ -97,8 +97,7 @@ def sitemap_closure(fetched: DataFrame, seed: str) -> DataFrame:
         walks, changed = best.drop("old"), best.where("NOT old").drop("old")
         if changed.isEmpty():
             break
-    rows = sitemap_urls(good.join(walks.select("url"), "url", "left_semi"))
-    rows = rows.join(walks.select(F.col("url").alias("sitemap"), "walk"), "sitemap")
+    rows = entries.where("NOT is_index").join(walks.select(F.col("url").alias("file"), "walk"), "file")
     return rows.select(F.concat("walk", F.array("pos")).alias("ord"), "url")
 
 
