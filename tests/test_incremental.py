@@ -118,3 +118,32 @@ def test_stages_are_replaceable_and_told(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/export_log").count() == 4
     with pytest.raises(ValueError):
         Pipeline(spark, str(tmp_path), stages={"nothing": first})
+
+
+def test_stage_machine_counts_by_vocabulary(spark):
+    from weftline.operators.chunks import vocabulary_counter
+
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    count = vocabulary_counter(path)
+    body = "\n\n".join(f"Paragraph {i} says something uncommonly wordy about antidisestablishmentarianism." for i in range(40))
+    pages = spark.createDataFrame([(1, "u", "t", "", "", body)], "page_id long, url string, title string, author string, date string, markdown string")
+    got = process(pages, CurationConfig(chunk_size=60, chunk_overlap=0, vocabulary=path)).collect()
+    assert len(got) > 5 and all(r.token_count == count(r.content) for r in got)
+    assert all(sum(count(p) for p in r.content.split("\n\n")) <= 60 for r in got)
+
+
+def test_selection_of_a_page(spark):
+    from weftline.operators import selection
+
+    state = selection.start(spark.createDataFrame([(i, f"https://a.com/{'en' if i % 2 else 'fr'}/{i}") for i in range(200)], "ord int, url string"))
+    seen = selection.filter_view(state, "/en/")
+    off = selection.toggle(seen, "29-34", False, page=0)
+    assert {r.ord for r in off.where("NOT selected").collect()} == {57, 59}
+    on_second = selection.toggle(seen, "29-34", False, page=1)
+    assert {r.ord for r in on_second.where("NOT selected").collect()} == {61, 63, 65, 67}
+    assert selection.toggle(seen, "500", False).where("NOT selected").isEmpty() and selection.toggle(seen, "x", False) is seen
+    assert {(r.ord, r.row) for r in selection.numbered(seen).where("row <= 2").collect()} == {(1, 1), (3, 2)}
+    assert selection.numbered(seen).where("row IS NULL").count() == 100
+    assert selection.chosen(off).count() == 198 and selection.chosen(selection.toggle_view(state, False)).count() == 200
+    plan = off._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan

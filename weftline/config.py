@@ -12,6 +12,8 @@ class CurationConfig:
     format: str = "qa"
     chunk_size: int = 512
     chunk_overlap: int = 64
+    #: A byte-pair vocabulary file that chunks are bounded and counted by; None: the pre-token pattern.
+    vocabulary: str | None = None
     min_page_words: int = 50
     max_pages: int | None = None
     max_crawl_pages: int = 50

@@ -105,6 +105,17 @@ def chunks_fast(text: Column, size: int = 512, overlap: int = 64, breaks: str =
     return split(text)
 
 
+def vocabulary_tokens(text: Column, path: str) -> Column:
+    """The number of tokens of a vocabulary file; null for null."""
+
+    @F.pandas_udf("int")
+    def tokens(texts: pd.Series) -> pd.Series:
+        count = vocabulary_counter(path)
+        return texts.map(lambda t: None if t is None else count(t)).astype("Int32")
+
+    return tokens(text)
+
+
 @F.udtf(returnType="chunk_index int, content string")
 class ChunkRows:
     """A table function of (text, size, overlap): a row a chunk."""
@@ -118,8 +129,8 @@ def register_chunks(spark, name: str = "chunks") -> None:
     spark.udtf.register(name, ChunkRows)
 
 
-def records(pages: DataFrame, chunked: Column, session_id: str = "local") -> DataFrame:
-    """One row a chunk of (page_id, url, title, author, date, ...): chunk_id is page_id * 10000 + index."""
+def records(pages: DataFrame, chunked: Column, session_id: str = "local", vocabulary: str | None = None) -> DataFrame:
+    """One row a chunk of (page_id, url, title, author, date, ...): chunk_id is page_id * 10000 + index; tokens by the vocabulary, if one is named."""
     x = pages.select("page_id", "url", "title", "author", "date", F.posexplode(chunked).alias("chunk_index", "content"))
     meta = F.struct(F.col("page_id"), F.col("chunk_index"), F.col("author"), F.col("date"), F.lit(session_id).alias("session_id"))
     return x.select(
@@ -127,6 +138,6 @@ def records(pages: DataFrame, chunked: Column, session_id: str = "local") -> Dat
         F.col("url").alias("source_url"),
         "title",
         "content",
-        token_count(F.col("content")).alias("token_count"),
+        (vocabulary_tokens(F.col("content"), vocabulary) if vocabulary else token_count(F.col("content"))).alias("token_count"),
         meta.alias("metadata"),
     )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import matches
+from .relational import ranked
 
 PAGE_SIZE = 30
 
@@ -31,17 +32,25 @@ def rows_of(spec: str) -> tuple[int, int] | None:
 
 
 def numbered(state: DataFrame) -> DataFrame:
-    """state with the 1-based row of each visible URL in discovery order."""
-    return state.withColumn("row", F.when(F.col("in_view"), F.row_number().over(Window.partitionBy("in_view").orderBy("ord"))))
+    """state with the 1-based row of each visible URL in discovery order, null for the others; by a range sort, not in one task."""
+    visible = F.coalesce(F.col("in_view"), F.lit(False))
+    rows = ranked(state.where(visible), [F.col("ord")], "row").withColumn("row", F.col("row").cast("int"))
+    return rows.select(*state.columns, "row").unionByName(state.where(~visible).withColumn("row", F.lit(None).cast("int")))
 
 
 def toggle(state: DataFrame, spec: str, select: bool, page: int = 0, size: int = PAGE_SIZE) -> DataFrame:
-    """Select or deselect rows of the current page; rows outside it are ignored."""
+    """Select or deselect rows of the current page; rows outside it are ignored. ord names a row.
+
+    Only the rows of the page are found, ``size`` at most, and sent to all tasks; the others are not numbered.
+    """
     found = rows_of(spec)
     if not found:
         return state
     a, b = max(found[0], page * size + 1), min(found[1], (page + 1) * size)
-    return numbered(state).withColumn("selected", F.when(F.col("row").between(a, b), F.lit(select)).otherwise(F.col("selected"))).drop("row")
+    if b < a:
+        return state
+    picked = state.where("in_view").orderBy("ord").offset(a - 1).limit(b - a + 1).select("ord", F.lit(True).alias("_picked"))
+    return state.join(F.broadcast(picked), "ord", "left").withColumn("selected", F.when(F.col("_picked"), F.lit(select)).otherwise(F.col("selected"))).select(*state.columns)
 
 
 def toggle_view(state: DataFrame, select: bool) -> DataFrame:
@@ -64,5 +73,5 @@ def page_count(total: int, size: int = PAGE_SIZE) -> int:
 
 def chosen(state: DataFrame) -> DataFrame:
     """The selection in discovery order, or everything where nothing is selected."""
-    any_selected = F.max(F.col("selected").cast("int")).over(Window.partitionBy(F.lit(1)))
-    return state.withColumn("_any", any_selected).where(F.col("selected") | (F.col("_any") == 0)).select("ord", "url").orderBy("ord")
+    selected = state.where("selected")
+    return (state if selected.isEmpty() else selected).select("ord", "url").orderBy("ord")

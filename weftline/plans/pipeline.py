@@ -47,7 +47,8 @@ def collect(selected: DataFrame, fetched: DataFrame) -> DataFrame:
 
 def process(pages: DataFrame, cfg: CurationConfig) -> DataFrame:
     cleaned = pages.withColumn("content", text.clean(F.coalesce("markdown", F.lit("")))).where(text.is_content_rich(F.col("content"), cfg.min_page_words))
-    return chunks.records(cleaned, chunks.chunks_fast(F.col("content"), cfg.chunk_size, cfg.chunk_overlap), cfg.session_id)
+    packed = chunks.chunks_fast(F.col("content"), cfg.chunk_size, cfg.chunk_overlap, vocabulary=cfg.vocabulary)
+    return chunks.records(cleaned, packed, cfg.session_id, cfg.vocabulary)
 
 
 def make(records: DataFrame, cfg: CurationConfig, generator=generate.echo_generator) -> DataFrame:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import packing, quality, review
 from ..sources import discovery
-from ..storage import table
+from ..storage import shared_dir, table, written
+from ..streaming import curation, incremental, thinking
 from .catalog import query
 from .queries_text import SENTENCES_SQL, TOKENS_SQL
-from .queries_urls import _address, _named, _site_graph, _site_links, _site_pages, crawl_sql
+from .queries_urls import SANITISED, _address, _named, _site_graph, _site_links, _site_pages, crawl_sql
 
 WS = "concat(' ', chr(9), chr(10), chr(13))"
 
@@ -96,3 +98,38 @@ def q81(spark, sf):
     """Ten batches cost what the cap allows; waves of four ask twelve."""
     samples = quality.conversations(table(spark, sf, "conversations"))
     return review.review(samples, priced_rater, cap=3.0, wave=4).select(F.col("id").alias("conv_id"), "score", "cost")
+
+
+_known = "page_id % 5 = 0"
+
+
+@query("q82_stream_discovery", f"WITH {SANITISED} SELECT url FROM clean GROUP BY url HAVING NOT bool_or({_known})")
+def q82(spark, sf):
+    """The pages' addresses as a file stream into the discovered table, without those an earlier session knows; the last batch is given twice."""
+    root = f"{shared_dir(spark)}/weftline/discovery-{uuid.uuid4().hex}"
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("ord"), "url", "page_id")
+    known = written(p.where(_known).select(urls.sanitise(F.col("url")).alias("url")), "known")
+    p.select("ord", "url").repartition(3, "ord").write.parquet(f"{root}/in")
+    stream = curation.stream_table(spark, f"{root}/in", p.select("ord", "url").schema, 1)
+    incremental.discover_stream(stream, root, "s", known).awaitTermination()
+    found = spark.read.parquet(f"{root}/discovered")
+    last = found.agg(F.max("batch_id")).first()[0]
+    incremental.discover_batch(root, "s", known)(written(found.where(F.col("batch_id") == last).select("ord", "url"), "again"), last)
+    return spark.read.parquet(f"{root}/discovered").select("url")
+
+
+_abc = [f"replace(substring(text, {at}, 30), '<', '.') AS {name}" for at, name in ((1, "a"), (31, "b"), (61, "c"))]
+_parts = ", ".join(_abc)
+
+
+@query("q83_thinking_tokens", f"SELECT doc_id, a || c AS content, b || CASE WHEN doc_id % 2 = 0 THEN c ELSE '' END AS thinking FROM (SELECT doc_id, {_parts} FROM documents) WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, a, b || c FROM (SELECT doc_id, {_parts} FROM documents) WHERE doc_id % 2 = 0")
+def q83(spark, sf):
+    """Answers as tokens of three characters, in which tags are cut; every second answer never closes its tag."""
+    d = table(spark, sf, "documents").selectExpr("doc_id", *_abc)
+    said = F.concat("a", F.lit("<think>"), "b", F.when(F.col("doc_id") % 2 == 1, "</think>").otherwise(""), "c")
+    n = F.greatest(F.lit(1), F.ceil(F.length("said") / 3)).cast("int")
+    t = d.select("doc_id", said.alias("said")).withColumn("n", n).withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    tokens = t.select(F.col("doc_id").alias("stream_id"), "pos", F.substr("said", F.col("pos") * 3 + 1, F.lit(3)).alias("token"), (F.col("pos") == F.col("n") - 1).alias("last"))
+    parts = thinking.split_tokens(tokens).groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("pos", "content", "thinking"))).alias("x"))
+    joined = lambda c: F.array_join(F.transform("x", lambda e: e[c]), "").alias(c)
+    return parts.select(F.col("stream_id").alias("doc_id"), joined("content"), joined("thinking"))
