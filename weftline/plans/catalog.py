@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("queries_text", "queries_urls", "queries_tables", "queries_flow", "queries_reports", "queries_scale")
+MODULES = ("queries_text", "queries_urls", "queries_tables", "queries_flow", "queries_reports", "queries_scale", "queries_sources")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 

@@ -35,7 +35,7 @@ def q60(spark, sf):
     return spark.read.schema("fp string").parquet(f"{root}/out")
 
 
-@query("q69_generate")
+@query("q69_generate", "SELECT doc_id * 1000 AS id, doc_id AS chunk_id, CAST(2 AS INTEGER) AS n_messages FROM documents")
 def q69(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     return generate.generate(d, "qa", "study").select("id", "chunk_id", F.size("messages").alias("n_messages"))
