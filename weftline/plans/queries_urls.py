@@ -305,7 +305,18 @@ def q51(spark, sf):
     return _named(discovery.crawl(_site_pages(n), links.unionByName(away), f"{_largest(n)}/0"), n)
 
 
-@query("q57_html_extract")
+_unescaped = "replace(replace(replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(
+    "q57_html_extract",
+    rf"""WITH b AS (SELECT page_id, html, regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) AS body FROM pages),
+t AS (SELECT page_id, {_unescaped.format("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")} AS title,
+  {_unescaped.format("array_to_string(list_filter(regexp_split_to_array(body, '(?s)<!--.*?-->|<[^>]*>'), lambda x: x <> ''), chr(10))")} AS raw,
+  len(list_distinct(list_filter(regexp_extract_all(body, '<a\s+href=\"([^\"]*)\"', 1), lambda x: NOT regexp_matches(x, '^(#|mailto:|tel:)')))) AS n_links FROM b),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(raw, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM t)
+SELECT page_id, title, '' AS author, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS word_count, md5(text) AS text_md5, CAST(n_links AS INTEGER) AS n_links FROM n""",
+)
 def q57(spark, sf):
     p = table(spark, sf, "pages")
     return p.withColumn("x", markup.extract(F.col("html"), F.col("url"))).select("page_id", "x.title", "x.author", "x.word_count", F.md5(F.col("x.text").cast("binary")).alias("text_md5"), F.size("x.links").alias("n_links"))

@@ -29,14 +29,21 @@ class HostBuckets:
             self.sleep(delay)
 
 
+#: The buckets of this Python process by rate: its tasks, one after the other or in threads, share them.
+_SHARED: dict[float, HostBuckets] = {}
+_LOCK = threading.Lock()
+
+
+def shared_buckets(rate: float) -> HostBuckets:
+    with _LOCK:
+        return _SHARED.setdefault(rate, HostBuckets(rate))
+
+
 def throttled(fetcher, rate: float = 2.0):
-    """A fetcher that keeps to the rate per host within each worker; repartition by host so that one worker has a host."""
-    buckets: list[HostBuckets] = []
+    """A fetcher that keeps to the rate per host within each worker process, over all its tasks; repartition by host so that one worker has a host."""
 
     def fetch(url: str):
-        if not buckets:
-            buckets.append(HostBuckets(rate))
-        buckets[0].wait(url)
+        shared_buckets(rate).wait(url)
         return fetcher(url)
 
     return fetch
