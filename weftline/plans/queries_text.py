@@ -285,9 +285,14 @@ def q54(spark, sf):
     return review.apply_scores(s, n.select("batch", raw.alias("raw"))).select(F.col("id").alias("conv_id"), "score", "quality_score", "approved")
 
 
-@query("q56_nfkc")
+_spaces = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', concat(chr(10), chr(10)), 'g'), '[ \t]+', ' ', 'g'), ' \n', chr(10), 'g'), concat(' ', chr(9), chr(10), chr(13)))"
+
+
+@query("q56_nfkc", f"WITH d AS (SELECT doc_id, text || ' fine full12' AS text FROM documents), s AS (SELECT doc_id, {_boiler_sql} AS text FROM d) SELECT doc_id, md5({_spaces}) AS cleaned_md5 FROM s")
 def q56(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(text.clean(F.col("text")).cast("binary")).alias("cleaned_md5"))
+    """The whole cleaning, of texts that end in a ligature, wide letters, a circled and a raised digit."""
+    raw = F.concat("text", F.lit(" ﬁne ｆｕｌｌ①²"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.clean(raw).cast("binary")).alias("cleaned_md5"))
 
 
 @query("q61_top_previews", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 5")
