@@ -147,3 +147,33 @@ def test_selection_of_a_page(spark):
     assert selection.chosen(off).count() == 198 and selection.chosen(selection.toggle_view(state, False)).count() == 200
     plan = off._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_scan_goes_on_where_it_ended(spark, tmp_path):
+    from weftline.sources import tables
+
+    src, out, log = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "log"
+    log.mkdir()
+
+    def fetcher(url):
+        import os
+        import uuid
+
+        if "bad" in url:
+            raise OSError("down")
+        (log / uuid.uuid4().hex).write_text(f"{os.getpid()} {url}")
+        return 200, "text/html", url.upper()
+
+    put = lambda lo, hi: spark.range(lo, hi).select(F.concat(F.lit("https://h"), (F.col("id") % 3).cast("string"), F.when(F.col("id") == 5, "bad").otherwise(""), F.lit(".com/"), F.col("id").cast("string")).alias("url")).coalesce(1).write.mode("append").parquet(src)
+    read = lambda: spark.readStream.schema("url string").option("maxFilesPerTrigger", 1).parquet(src)
+    put(0, 10)
+    tables.scan_stream(read(), fetcher, out, str(tmp_path / "ck"), rate=1000.0, attempts=2, wait=0.0).awaitTermination()
+    put(10, 16)
+    tables.scan_stream(read(), fetcher, out, str(tmp_path / "ck"), rate=1000.0, attempts=2, wait=0.0).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert len(got) == len({r.url for r in got}) == 16 and [r.error for r in got if r.status is None] == ["OSError: down"]
+    calls = [f.read_text().split()[1] for f in log.iterdir()]
+    assert len(calls) == len(set(calls)) == 15
+    # one batch's addresses of a host are in one task
+    rows = tables.scan(spark.read.parquet(src), fetcher).withColumn("task", F.spark_partition_id()).withColumn("host", F.substring_index("url", "/", 3))
+    assert rows.groupBy("host").agg(F.count_distinct("task").alias("n")).where("n > 1").isEmpty()

@@ -37,7 +37,7 @@ def uneven_fetcher(url: str) -> tuple[int, str, str]:
 CASE length(url) % 5 WHEN 0 THEN 'ConnectionError: down' WHEN 1 THEN 'ValueError: no length' END AS error FROM pages""",
 )
 def q84(spark, sf):
-    return tables.fetch(pages(spark, sf), uneven_fetcher, attempts=2, wait=0.0).select("url", "status", "body", "error")
+    return tables.scan(pages(spark, sf), uneven_fetcher, attempts=2, wait=0.0).select("url", "status", "body", "error")
 
 
 @query("q85_url_file", "SELECT url FROM pages WHERE page_id % 3 > 0")

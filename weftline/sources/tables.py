@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import origin
 from ..schemas import schema
+from .throttle import throttled
 
 
 def session_table(spark: SparkSession, root: str, name: str, session_id: str | None = None) -> DataFrame:
@@ -80,3 +82,18 @@ def fetch(urls: DataFrame, fetcher: Fetcher, attempts: int = 3, wait: float = 2.
             yield pd.DataFrame(rows, columns=["url", "status", "content_type", "body", "error"]).astype({"status": "Int32"})
 
     return urls.select("url").mapInPandas(run, "url string, status int, content_type string, body string, error string")
+
+
+def scan(urls: DataFrame, fetcher: Fetcher, rate: float | None = None, **how) -> DataFrame:
+    """urls (url, ...), static or a stream, fetched a host at a time: one task has all of a host's addresses of a run or batch, so that
+    ``rate`` requests a second a host hold for the whole cluster. As a stream it goes on where its checkpoint ends; a batch that
+    fails is fetched again as a whole.
+    """
+    by_host = urls.select("url", origin(F.col("url")).alias("host")).repartition("host").select("url")
+    return fetch(by_host, throttled(fetcher, rate) if rate else fetcher, **how)
+
+
+def scan_stream(urls: DataFrame, fetcher: Fetcher, path: str, checkpoint: str, rate: float | None = None, **how):
+    """A query that fetches what is there of a stream of (url) into a Parquet table, each address of a finished batch once, and ends."""
+    rows = scan(urls, fetcher, rate, **how)
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
