@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import WORD_SAFE, percent_encoded
+from ..storage import written
 
 # What ends a line, and the fields that belong to a record.
 LINE_END = r"\r\n|[\n\x0B\f\r\x1c-\x1e\u0085\u2028\u2029]"
@@ -81,13 +82,13 @@ def record_for(found: DataFrame, agent: str) -> DataFrame:
 
 def rules_for(robots: DataFrame, agent: str = "*") -> DataFrame:
     """(host, pos, prefix, allow): the rules of each host for the agent. An empty path to disallow allows all."""
-    rules = record_for(records(robots), agent).where(F.col("field").isin("allow", "disallow"))
+    rules = record_for(written(records(robots), "robots"), agent).where(F.col("field").isin("allow", "disallow"))
     return rules.select("host", "pos", _comparable(F.col("value")).alias("prefix"), ((F.col("field") == "allow") | (F.col("value") == "")).alias("allow"))
 
 
 def crawl_delays(robots: DataFrame, agent: str = "*") -> DataFrame:
     """(host, delay): whole seconds that a host asks the agent to wait; the last line of its record counts."""
-    delays = record_for(records(robots), agent).where((F.col("field") == "crawl-delay") & F.col("value").rlike(r"^\s*\d+\s*$"))
+    delays = record_for(written(records(robots), "robots"), agent).where((F.col("field") == "crawl-delay") & F.col("value").rlike(r"^\s*\d+\s*$"))
     return delays.groupBy("host").agg(F.max_by(_strip(F.col("value")).cast("int"), "pos").alias("delay"))
 
 
@@ -96,7 +97,7 @@ def allowed(urls: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
 
     A host and path is decided once, however many rows have it; a host of most URLs is spread by its paths.
     """
-    rules = rules_for(robots, agent).withColumn("length", F.length("prefix"))
+    rules = written(rules_for(robots, agent).withColumn("length", F.length("prefix")), "rules")
     known = robots.where("body IS NOT NULL").select("host").distinct()
     hosts = known.join(rules.groupBy("host").agg(F.collect_set("length").alias("lengths")), "host", "left")
     keyed = urls.withColumn("_path", url_path(F.col("url")))
