@@ -236,3 +236,25 @@ def test_top_k_over_many_chains(spark, monkeypatch):
         order = [j for j in np.lexsort((np.arange(300), -s)) if j != i][:5]
         want += [(i, k + 1, int(j), int(s[j])) for k, j in enumerate(order)]
     assert got == want
+
+
+def test_bags_never_rule_out_a_link():
+    """What entries of short lines carry bounds the edits from below, also where numbers are capped, and rules out unlike lines."""
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abcde fgh") for _ in range(rng.randint(9, 127))) for _ in range(300)] + ["a" * 127, "ab" * 60, "é漢" * 50]
+    edited = []
+    for line in lines:
+        chars = list(line)
+        for _ in range(rng.randint(0, len(line) // 10)):
+            k = rng.randrange(len(chars))
+            chars[k : k + 1] = rng.choice(([], [rng.choice("xyz")], [chars[k], "q"]))
+        edited.append("".join(chars))
+    bag = op10_lines.unpacked(np.concatenate((op10_lines.bags(lines), op10_lines.bags(edited))))
+    assert bag.min() >= 0 and bag.max() == 15
+    i, n = np.arange(len(lines)), len(lines)
+    most = op10_lines.most_edits(np.array([max(len(x), len(y)) for x, y in zip(lines, edited, strict=True)]), 0.9)
+    linked = op10_lines.within(lines, edited, 0.9)
+    assert linked.sum() > 200 and op10_lines.bags_near(bag, i, i + n, most)[linked].all()
+    other = np.roll(i, 1)
+    most = op10_lines.most_edits(np.array([max(len(lines[a]), len(lines[b])) for a, b in zip(i, other, strict=True)]), 0.9)
+    assert op10_lines.bags_near(bag, i, other, most).mean() < 0.2
