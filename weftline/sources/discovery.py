@@ -101,12 +101,16 @@ def sitemap_closure(fetched: DataFrame, seed: str) -> DataFrame:
     return rows.select(F.concat("walk", F.array("pos")).alias("ord"), "url")
 
 
-def is_app_candidate(html: Column, url: Column) -> Column:
-    """Whether a page may draw its links by script: over 500 characters of text, under 3 links to pages of its own host."""
-    found = extract(html, url)
+def is_app_candidate(html: Column, url: Column, as_written: bool = False) -> Column:
+    """Whether a page may draw its links by script: over 500 characters of text, under 3 links to pages of its own host.
+
+    as_written: character references count with all their characters, runs of white space as one.
+    """
+    found = extract(F.replace(html, F.lit("&"), F.lit("&amp;")) if as_written else html, url)
+    text = F.trim(F.regexp_replace(found["text"], r"[ \t\n\r\f]+", " ")) if as_written else found["text"]
     links = F.filter(F.transform(found["links"], sanitise), lambda x: x.isNotNull())
     own = F.filter(F.array_distinct(links), lambda x: (bare_host(x) == bare_host(url)) & is_page_url(x))
-    return (F.size(own) < 3) & (F.length(found["text"]) > 500)
+    return (F.size(own) < 3) & (F.length(text) > 500)
 
 
 def crawl_many(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_pages: int = 50, max_depth: int = 3, pattern: str | None = None) -> DataFrame:
