@@ -26,3 +26,11 @@ def test_candidates_count_references_as_written(spark, tmp_path):
     texts = ["a&amp;" * 100, "a&amp;" * 80, "word " * 101, "<b>x </b> " * 200, "a" * 501]
     rows = [(i, f"https://e.com/{i}", page.format(t)) for i, t in enumerate(texts)]
     assert {r.page_id: r.candidate for r in alike(spark, tmp_path, "q29_spa_candidate", "pages", rows, PAGES)} == {0: True, 1: False, 2: True, 3: False, 4: True}
+
+
+def test_references_without_semicolon_stay(spark, tmp_path):
+    page = "<html><head><title>{0}</title></head><body><article><p>{0}</p></article></body></html>"
+    texts = ["this &amp; that &amp", "&ampere; &lt", "a &copy b &copy; c", "&"]
+    rows = [(i, f"https://e.com/{i}", page.format(t)) for i, t in enumerate(texts)]
+    got = {r.page_id: r.title for r in alike(spark, tmp_path, "q57_html_extract", "pages", rows, PAGES)}
+    assert got == {0: "this & that &amp", 1: "&ampere; &lt", 2: "a &copy b © c", 3: "&"}
