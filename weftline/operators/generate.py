@@ -6,10 +6,11 @@ import json
 import time
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import runs, text_bytes
 from ..functions.generated import build_prompt, parse_items, to_messages
 from ..sources.tables import backoff
 
@@ -39,10 +40,12 @@ def complete(prompts: DataFrame, generator: Generator = echo_generator, attempts
     ``wait`` seconds, twice as long each time; they give a null response, never a failed job.
     """
 
-    def run(frames: Iterable[pd.DataFrame]):
-        for pdf in frames:
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        for part in (b.slice(*r) for b in batches for r in runs(text_bytes(b.column("system"), b.column("user")))):
             rows = []
-            for s, u in zip(pdf["system"], pdf["user"], strict=True):
+            for s, u in zip(part.column("system").to_pylist(), part.column("user").to_pylist(), strict=True):
                 row = (None, "no attempt", "other", 0, 0, 0.0)
                 for attempt in range(attempts):
                     if attempt:
@@ -55,10 +58,10 @@ def complete(prompts: DataFrame, generator: Generator = echo_generator, attempts
                         why = f"{type(e).__name__}: {e}"
                         row = (None, why, error_class(why), 0, 0, 0.0)
                 rows.append(row)
-            more = pd.DataFrame(rows, columns=["raw", "error", "error_class", "prompt_tokens", "completion_tokens", "cost_usd"], index=pdf.index)
-            yield pd.concat([pdf[["chunk_id", "system", "user"]], more], axis=1)
+            more = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "raw", "error", "error_class", "prompt_tokens", "completion_tokens", "cost_usd"])
 
-    return prompts.select("chunk_id", "system", "user").mapInPandas(run, "chunk_id long, system string, user string, raw string, error string, error_class string, prompt_tokens long, completion_tokens long, cost_usd double")
+    return prompts.select(F.col("chunk_id").cast("long").alias("chunk_id"), "system", "user").mapInArrow(run, "chunk_id long, system string, user string, raw string, error string, error_class string, prompt_tokens long, completion_tokens long, cost_usd double")
 
 
 def usage(said: DataFrame) -> DataFrame:
