@@ -27,3 +27,11 @@ def test_completions_come_out_by_bytes(spark):
     said = generate.complete(d, lambda s, u: (u[:3], len(u), 1, 1))
     assert {(r.chunk_id, r.raw, r.prompt_tokens) for r in said.collect()} == {(i, "xxx", batches.MOST) for i in range(5)}
     assert "MapInArrow" in said._jdf.queryExecution().executedPlan().toString()
+
+
+def test_usage_of_long_prompts(spark):
+    d = spark.range(0, 6, 1, 1).selectExpr("id AS chunk_id", "'s' AS system", f"repeat('é', {batches.MOST} + cast(id AS int)) AS user")
+    said = generate.complete(d, lambda s, u: (u[:1], len(u), 2, 0.5))
+    got = generate.usage(said).first()
+    assert (got.calls, got.prompt_tokens, got.completion_tokens, got.cost_usd, got.errors) == (6, 6 * batches.MOST + 15, 12, 3.0, 0)
+    assert "MapInPandas" not in said._jdf.queryExecution().executedPlan().toString()
