@@ -35,3 +35,16 @@ def test_usage_of_long_prompts(spark):
     got = generate.usage(said).first()
     assert (got.calls, got.prompt_tokens, got.completion_tokens, got.cost_usd, got.errors) == (6, 6 * batches.MOST + 15, 12, 3.0, 0)
     assert "MapInPandas" not in said._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_share_files(spark, tmp_path):
+    pages = spark.range(0, 300, 1, 2).selectExpr("id AS page_id", "concat('# ', id, '\n\n', 'x\n') AS markdown")
+    path = tmp_path / "raw"
+    local.write_raw_pages(pages, str(path))
+    assert len([p for p in path.rglob("*") if p.is_file() and p.name[0] not in "._"]) == 2  # one of each task
+    assert sorted((r.page_id, r.markdown) for r in tables.raw_pages(spark, str(path)).collect()) == [(i, f"# {i}\n\nx\n") for i in range(300)]
+    (path / "own.txt").write_text("mine\n")
+    assert {(r.page_id, r.markdown) for r in tables.raw_pages(spark, str(path)).collect()} >= {(None, "mine"), (7, "# 7\n\nx\n")}
+    (tmp_path / "loose" / "page_id=4").mkdir(parents=True)
+    (tmp_path / "loose" / "page_id=4" / "a.md").write_text("four")
+    assert [(r.page_id, r.markdown) for r in tables.raw_pages(spark, str(tmp_path / "loose")).collect()] == [(4, "four")]

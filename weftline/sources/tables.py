@@ -37,10 +37,16 @@ def by_prefix(df: DataFrame, key: str, prefix: str) -> DataFrame:
 
 
 def raw_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, markdown) of saved page files, and page_id where folders name it; missing files are simply absent."""
-    found = spark.read.text(path, wholetext=True)
+    """(path, markdown) of saved page files, and page_id where folders or write_raw_pages name it; missing files are simply absent."""
+    named = lambda names: spark.read.option("pathGlobFilter", names)
+    packed = bool(named("*.parquet").text(path).inputFiles())
+    single = spark.read if not packed else named("*.{txt,md}")
+    if packed and not single.text(path).inputFiles():
+        return named("*.parquet").parquet(path).select("page_id", F.input_file_name().alias("path"), "markdown")
+    found = single.text(path, wholetext=True)
     ids = [c for c in found.columns if c == "page_id"]
-    return found.select(*ids, F.input_file_name().alias("path"), F.regexp_replace("value", r"\n\z", "").alias("markdown"))
+    found = found.select(*ids, F.input_file_name().alias("path"), F.regexp_replace("value", r"\n\z", "").alias("markdown"))
+    return found.unionByName(named("*.parquet").parquet(path).select("page_id", F.input_file_name().alias("path"), "markdown"), allowMissingColumns=True) if packed else found
 
 
 def json_dataset(spark: SparkSession, path: str, ddl: str) -> DataFrame:
