@@ -48,3 +48,15 @@ def test_pages_share_files(spark, tmp_path):
     (tmp_path / "loose" / "page_id=4").mkdir(parents=True)
     (tmp_path / "loose" / "page_id=4" / "a.md").write_text("four")
     assert [(r.page_id, r.markdown) for r in tables.raw_pages(spark, str(tmp_path / "loose")).collect()] == [(4, "four")]
+
+
+def test_streams_of_a_task_in_one_call(spark):
+    parts = ["a<th", "ink>b", None, "</thi", "nk>c<"]
+    rows = [(k, p, t, p == 4 and k != 3) for p, t in enumerate(parts) for k in (1, None, 2, 3)]
+    out = thinking.split_tokens(spark.createDataFrame(rows, "stream_id int, pos int, token string, last boolean").repartition(3))
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    said = {}
+    for r in sorted(out.collect(), key=lambda r: r.pos):
+        content, thought = said.get(r.stream_id, ("", ""))
+        said[r.stream_id] = content + r.content, thought + r.thinking
+    assert said == {1: ("ac<", "b"), 2: ("ac<", "b"), 3: ("ac", "b"), None: ("ac<", "b")}
