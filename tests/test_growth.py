@@ -60,3 +60,8 @@ def test_streams_of_a_task_in_one_call(spark):
         content, thought = said.get(r.stream_id, ("", ""))
         said[r.stream_id] = content + r.content, thought + r.thinking
     assert said == {1: ("ac<", "b"), 2: ("ac<", "b"), 3: ("ac", "b"), None: ("ac<", "b")}
+
+
+def test_pages_by_bytes():
+    got = markup._extract(pa.array(["<title>a</title><p>b", None]), pa.array(["https://e.com/x", None])).to_pylist()
+    assert [(x["title"], x["text"], x["links"]) for x in got] == [("a", "a\nb", []), ("", "", [])]

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import mapped
 from ..functions.text import paragraphs, sentences, token_count
 
 PART = "array<struct<part:string,tokens:int>>"
@@ -97,10 +98,10 @@ def chunks_fast(text: Column, size: int = 512, overlap: int = 64, breaks: str =
     With the path of a vocabulary file, tokens are those of that vocabulary.
     """
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        count = vocabulary_counter(vocabulary) if vocabulary else count_tokens
-        return texts.map(lambda t: split_text(t, size, overlap, breaks, count))
+    @F.arrow_udf("array<string>")
+    def split(texts: pa.Array) -> pa.Array:
+        count, kind = vocabulary_counter(vocabulary) if vocabulary else count_tokens, pa.list_(pa.string())
+        return mapped(lambda some: pa.array([split_text(t, size, overlap, breaks, count) for t in some.to_pylist()], kind), kind, texts)
 
     return split(text)
 
@@ -108,10 +109,10 @@ def chunks_fast(text: Column, size: int = 512, overlap: int = 64, breaks: str =
 def vocabulary_tokens(text: Column, path: str) -> Column:
     """The number of tokens of a vocabulary file; null for null."""
 
-    @F.pandas_udf("int")
-    def tokens(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def tokens(texts: pa.Array) -> pa.Array:
         count = vocabulary_counter(path)
-        return texts.map(lambda t: None if t is None else count(t)).astype("Int32")
+        return mapped(lambda some: pa.array([None if t is None else count(t) for t in some.to_pylist()], pa.int32()), pa.int32(), texts)
 
     return tokens(text)
 
