@@ -65,3 +65,7 @@ def test_streams_of_a_task_in_one_call(spark):
 def test_pages_by_bytes():
     got = markup._extract(pa.array(["<title>a</title><p>b", None]), pa.array(["https://e.com/x", None])).to_pylist()
     assert [(x["title"], x["text"], x["links"]) for x in got] == [("a", "a\nb", []), ("", "", [])]
+
+
+def test_cleaning_by_bytes():
+    assert text._nfkc(pa.array(["ﬁne", None, "", "ｆ①"])).to_pylist() == ["fine", None, "", "f1"]

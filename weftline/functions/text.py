@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..batches import mapped
+
 # The boilerplate phrases with what ends each (a blank line, a line, or the text), in this order.
 BOILERPLATE = [
     r"Subscribe to our newsletter.*?(?=\n\n|\z)",
@@ -24,12 +26,12 @@ SPACE = r"(?U)\s+"
 PRE_TOKEN = r"(?U)\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
 
 
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return mapped(lambda some: pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in some.to_pylist()], pa.string()), pa.string(), texts)
 
 
 def nfkc(text: Column) -> Column:
-    return F.pandas_udf(_nfkc, "string")(text)
+    return F.arrow_udf(_nfkc, "string")(text)
 
 
 def trim_all(text: Column) -> Column:
