@@ -46,3 +46,16 @@ def test_stages_of_pages_that_share_an_address(spark, tmp_path):
     rows = [(i, f"https://e.com/{i % 3}#top", "") for i in range(7)]
     got = {r.stage: r.n for r in alike(spark, tmp_path, "q99_stage_machine", "pages", rows, PAGES)}
     assert got["discovery"] == got["quality"] == 7
+
+
+DOCUMENTS = "doc_id long, text string, source string"
+#: Blank and null texts, white space and numbers beyond ASCII, control signs, no doc_id.
+ODD_TEXTS = [
+    (0, "a b. " * 200, "s"), (1, "", "s"), (2, " \n ", "t"), (3, None, "u"), (4, "x y. " * 140 + "z. w   " * 90, "s"),
+    (5, "x\x01y. " * 140 + "\x0b. \x0c \x85. " * 60, "t"), (6, "½ ² Ⅷ 1234 x²y. " * 60, None), (None, "x y. " * 150, "s"), (None, "", "v"),
+]
+
+
+def test_chunk_counts_of_odd_texts(spark, tmp_path):
+    got = {r.doc_id: r.n_chunks for r in alike(spark, tmp_path, "q12_chunk_counts_no_overlap", "documents", [*ODD_TEXTS, ODD_TEXTS[0]][1:], DOCUMENTS)}
+    assert got[1] == got[2] == got[3] == got[None] == 1

@@ -51,6 +51,21 @@ def chunks(text: Column, size: int = 512, overlap: int = 64, breaks: str = r"\n{
     return F.filter(out, lambda c: c.rlike(r"(?U)\S"))
 
 
+def packed_sums(tokens: Column, size: int = 512) -> Column:
+    """array<bigint>: the tokens of each chunk of parts with so many tokens each, packed greedily without overlap; a first part opens a chunk even if it has none."""
+    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("done"), F.lit(None).cast("long").alias("tot"), F.lit(False).alias("open"))
+
+    def step(s, n):
+        full = s["open"] & (s["tot"] + n > size)
+        return F.struct(
+            F.when(full, F.concat(s["done"], F.array(s["tot"]))).otherwise(s["done"]).alias("done"),
+            F.when(full | ~s["open"], n.cast("long")).otherwise(s["tot"] + n).alias("tot"),
+            F.lit(True).alias("open"),
+        )
+
+    return F.aggregate(tokens, start, step, lambda s: F.when(s["open"], F.concat(s["done"], F.array(s["tot"]))).otherwise(s["done"]))
+
+
 def count_tokens(text: str) -> int:
     return len(TOKEN.findall(text))
 
