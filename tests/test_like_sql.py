@@ -57,7 +57,9 @@ ODD_TEXTS = [
 
 
 def test_chunk_counts_of_odd_texts(spark, tmp_path):
-    got = {r.doc_id: r.n_chunks for r in alike(spark, tmp_path, "q12_chunk_counts_no_overlap", "documents", [*ODD_TEXTS, ODD_TEXTS[0]][1:], DOCUMENTS)}
+    twice = [(7, "x " * 200 + "z. " + "y " * 200, "s")] * 2
+    got = {r.doc_id: r.n_chunks for r in alike(spark, tmp_path, "q12_chunk_counts_no_overlap", "documents", [*ODD_TEXTS, (3, None, "u"), *twice], DOCUMENTS)}
+    assert got[7] == 2
     assert got[1] == got[2] == got[3] == got[None] == 1
 
 
@@ -67,5 +69,6 @@ def test_chunk_records_of_odd_texts(spark, tmp_path):
 
 
 def test_lineage_of_odd_texts(spark, tmp_path):
-    got = {r.source: (r.docs, r.chunks) for r in alike(spark, tmp_path, "q34_lineage", "documents", [*ODD_TEXTS, (3, None, "u"), (3, None, "v")], DOCUMENTS)}
+    got = {r.source: (r.docs, r.chunks) for r in alike(spark, tmp_path, "q34_lineage", "documents", [*ODD_TEXTS, (3, None, "u"), (3, None, "v"), *[(7, "x " * 200 + "z. " + "y " * 200, "w")] * 2], DOCUMENTS)}
+    assert got["w"] == (1, 2)
     assert got["u"] == got["v"] == (1, 1)
